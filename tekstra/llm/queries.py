@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, near_dedup, quality_rules
+from . import bpe, license_scan, mixing, near_dedup, quality_rules, sharding
 from .common import table
 
 
+def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op1(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op6(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.op2(table(spark, sf_dir, "documents"))
 
@@ -27,10 +35,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_poisson_mix": op1_poisson_mix,
     "op2_license_scan": op2_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_sharding": op6_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_poisson_mix": mixing.ORACLE_SQL}
