@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, mixing, near_dedup, quality_rules, sharding
+from . import bpe, license_scan, mixing, near_dedup, pii, quality_rules, sharding
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op3(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op5(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": op1_poisson_mix,
     "op2_license_scan": op2_license_scan,
+    "op3_pii": op3_pii,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_sharding": op6_sharding,
     "op9_quality_rules": op9_quality_rules,
