@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, mixing, near_dedup, pii, quality_rules, sharding
+from . import bpe, license_scan, mixing, near_dedup, order_minhash, pii, quality_rules, sharding
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op5(table(spark, sf_dir, "documents"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op9(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_sharding": op6_sharding,
+    "op8_order_minhash": op8_order_minhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_dedup": op10_near_dedup,
 }
