@@ -1,19 +1,51 @@
-"""The pipeline over ``documents``: STAGES in order, each stage's result written as Parquet and reread."""
+"""The pipeline over ``documents``: STAGES in order, each stage's result written as Parquet and reread.
+
+Quality rules drop what they reject; of each near-duplicate group one document stays; personal data is
+replaced in the texts; documents are replicated to the sources' target weights and shuffled; the copies
+are encoded. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tekstra.llm import bpe
+from tekstra.llm import bpe, mixing, near_dedup, pii, quality_rules
 from tekstra.llm.common import shared, table
 
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.kept(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicated(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the digest of the bytes that the ids decode to; a row for each copy."""
+    return bpe.encode_decode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 STAGES = [
-    ("byte-level BPE", lambda spark, docs, sf_dir: bpe.encode_decode(docs)),
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mixture),
+    ("byte-level BPE", encoded),
 ]
 
-#: Tokenisers and trained models are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: Tokenisers and trained models are beyond SQL; tests/llm/test_pipeline.py holds the rows against brute force.
 ORACLE_SQL = None
 
 
