@@ -7,8 +7,9 @@ Nodes that share all registers of a band are candidates; the Jaccard index estim
 registers, corrected for their chance collisions, sifts candidates, and the full sets confirm links.
 
 No pair inside a known component is ever looked at: first each bucket's members are held against its
-smallest node alone; then only buckets that still span several components are compared, block by block,
-a pair in its first shared band only. So a large group of copies costs its size, not its square.
+most central node alone (the one whose own buckets are fullest); then only buckets that still span
+several components are compared, block by block, a pair in its first shared band only. There a bitmap
+of each set gives a bound that no intersection exceeds, so that few pairs that are no links go on.
 
 With 32 bands of 4, a link of similarity 0.8 shares no band with probability 5e-8, and falls under
 the sieve (0.6) with probability 1e-8; more similar ones are missed less.
@@ -35,6 +36,8 @@ BLOCK = 1024
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 MAX_WORDS = 300_000
+#: Bits of a set's bitmap.
+BITS = 4096
 
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -101,6 +104,24 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     return max(0.0, (float((a == b).mean()) - c) / (1 - c))
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """BITS bits, one set for each shingle."""
+    out = np.zeros(BITS, np.uint8)
+    out[(hashes & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
+def with_bitmap(rows: DataFrame) -> DataFrame:
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            bits = pa.array([bitmap(shingles(x)) for x in batch.column(3).to_pylist()], pa.binary())
+            return pa.RecordBatch.from_arrays([*batch.columns, bits], names=[*batch.schema.names, "bits"])
+
+        return each
+
+    return map_batches(rows.select("node", "n", "bands", "raw"), make, "node binary, n long, bands array<long>, raw binary, bits binary")
+
+
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id (LAST for null), text_hash, n_shingles, node (the set's 128-bit hash; null for an empty set), bands."""
 
@@ -174,9 +195,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def open_pairs(members: DataFrame, near: DataFrame, comps: DataFrame) -> DataFrame:
     """Candidate pairs across components, from the buckets that still span several: each pair once, in its first shared band."""
-    labelled = members.join(comps, "node", "left").select("band", "value", "node", F.coalesce("comp", "node").alias("comp"))
+    labelled = members.drop("size").join(comps, "node", "left").select("band", "value", "node", F.coalesce("comp", "node").alias("comp"))
     spans = labelled.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "value", "size")
-    rows = labelled.join(spans, ["band", "value"]).join(near.select("node", "n", "bands"), "node")
+    rows = labelled.join(spans, ["band", "value"]).join(near.select("node", "n", "bands", "bits"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -191,6 +212,7 @@ def compare(group: pa.Table) -> pa.Table:
     comp = np.unique(np.array([x.hex() for x in group["comp"].to_pylist()]), return_inverse=True)[1]
     bands = np.array(group["bands"].combine_chunks().values.to_numpy()).reshape(len(node), BANDS)
     registers_of = bands.view(np.uint16)
+    bits = np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint64).reshape(len(node), -1)
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     out: tuple[list[bytes], list[bytes]] = ([], [])
     for at in range(0, len(left), 128):
@@ -200,10 +222,14 @@ def compare(group: pa.Table) -> pa.Table:
             ok &= rows[:, None] < right[None, :]
         sizes = np.minimum(n[rows][:, None], n[right][None, :]) * 100 >= SIMILARITY * np.maximum(n[rows][:, None], n[right][None, :])
         x, y = np.nonzero(ok & sizes)
-        for part in range(0, len(x), 50_000):
-            p, q = rows[x[part : part + 50_000]], right[y[part : part + 50_000]]
+        for part in range(0, len(x), 20_000):
+            p, q = rows[x[part : part + 20_000]], right[y[part : part + 20_000]]
             first = (bands[p] == bands[q]).argmax(axis=1) == band
             p, q = p[first], q[first]
+            # Each bit that only one set has is a shingle that the other lacks: so many at most are common.
+            common = np.minimum(n[p] - np.bitwise_count(bits[p] & ~bits[q]).sum(axis=1), n[q] - np.bitwise_count(bits[q] & ~bits[p]).sum(axis=1))
+            possible = 100 * common >= SIMILARITY * (n[p] + n[q] - common)
+            p, q = p[possible], q[possible]
             share = (registers_of[p] == registers_of[q]).mean(axis=1)
             low = SIMILARITY / 100 - MARGIN
             for k in np.flatnonzero(share >= low):
@@ -227,11 +253,14 @@ def memberships(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = stored(sketches(docs, key, text))
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = banded.groupBy("band", "value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band", "value", "lo")
+    shared = banded.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(banded.join(shared, ["band", "value"]))
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    pivots = members.join(weights, "node").groupBy("band", "value").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
     chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "bands", "row.id", "row.text_hash")
-    near = stored(docs.select(*row_key(key, text), utf8(text).alias("raw")).join(chosen, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("node", "n", "bands", "raw"))
-    stars = members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    near = docs.select(*row_key(key, text), utf8(text).alias("raw")).join(chosen, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
+    near = stored(with_bitmap(near))
+    stars = members.join(pivots, ["band", "value"]).where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(verified(stars, near))
     comps = components(links)
     more = verified(stored(open_pairs(members, near, comps)), near)

@@ -91,3 +91,12 @@ def test_estimate_is_close():
         assert abs(np.mean(got) - both / (2 * n - both)) < 0.02
     disjoint = [nd.estimate(nd.registers(rng.integers(0, 2**64, 500, dtype=np.uint64)), nd.registers(rng.integers(0, 2**64, 500, dtype=np.uint64)), 500, 500) for _ in range(50)]
     assert np.mean(disjoint) < 0.002
+
+
+def test_bitmaps_bound_the_intersection():
+    rng = np.random.default_rng(2)
+    for n in (1, 50, 3000, 20_000):
+        x = np.unique(rng.integers(0, 2**64, 2 * n, dtype=np.uint64))
+        a, b = x[: len(x) * 2 // 3], x[len(x) // 3 :]
+        p, q = (np.frombuffer(nd.bitmap(s), np.uint64) for s in (a, b))
+        assert min(len(a) - np.bitwise_count(p & ~q).sum(), len(b) - np.bitwise_count(q & ~p).sum()) >= len(np.intersect1d(a, b))
