@@ -1,14 +1,502 @@
-"""The queries of the library's own operators, with DuckDB SQL that says the same."""
+"""The queries of the library's own operators, each with DuckDB SQL that says the same where SQL can.
+
+A query runs over its whole tables. ``QUERIES`` and ``ORACLE_SQL`` are filled by ``query``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chat, dedup, langid, sampling, stats, tokens
+from . import cleaning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,;:!?-éèêçàüöäßñíó"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+# ---------------------------------------------------------------- SQL pieces
+
+_LINES = "string_split_regex({0}, '\\r\\n|[\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]')"
+NORMAL_SQL = "array_to_string(list_filter(list_transform(" + _LINES.format("regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{{FEFF}}]', '', 'g')".replace("{{", "{").replace("}}", "}")) + ", lambda x: trim(regexp_replace(x, '[ \\t\\x{A0}\\x{2000}-\\x{200B}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+FULL_SQL = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+BOILERPLATE_SQL = T.BOILERPLATE.replace("'", "''")
+WORDS_SQL = "CASE WHEN trim(regexp_replace({0}, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' ')) END"
+TIDY_SQL = "trim(regexp_replace(nfc_normalize(coalesce({0}, '')), '\\s+', ' ', 'g'))"
+BUCKET_SQL = "('0x' || substr(sha256({0}), 1, 8))::BIGINT % {1}"
+RATIOS_SQL = f"""
+ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM n),
+isle AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM ch WHERE c <> chr(10)),
+run AS (SELECT doc_id, count(*) AS len FROM isle GROUP BY doc_id, c, g HAVING count(*) >= 5),
+runs AS (SELECT doc_id, sum(len) AS runs FROM run GROUP BY doc_id),
+m AS (SELECT n.*, least(1.0, coalesce(runs, 0) / greatest(length(text), 1)) AS repeated,
+  CASE WHEN len({FULL_SQL}) = 0 THEN 0.0 ELSE (len({FULL_SQL}) - list_unique({FULL_SQL})) / len({FULL_SQL}) END AS duplicate,
+  CASE WHEN len({FULL_SQL}) = 0 THEN 0.0 ELSE len(list_filter({FULL_SQL}, lambda x: length(x) >= 20)) / len({FULL_SQL}) END AS prose
+  FROM n LEFT JOIN runs USING (doc_id)),
+q AS (SELECT *, CASE WHEN text = '' THEN 'empty' WHEN length(text) < 300 THEN 'too_short' WHEN length(text) > 1500000 THEN 'too_long' WHEN repeated > 0.35 THEN 'repetitive_chars'
+  WHEN duplicate > 0.30 THEN 'duplicate_lines' WHEN prose < 0.55 THEN 'non_prose' WHEN regexp_matches(text, '{BOILERPLATE_SQL}') THEN 'boilerplate' ELSE '' END AS reason FROM m)"""
+QUALITY_SQL = f"n AS (SELECT doc_id, lang, source, {NORMAL_SQL} AS text FROM documents),{RATIOS_SQL}"
+GRAMS_SQL = "list_transform(range(1, greatest(length(s) - 1, 1)), lambda i: substr(s, i, 3))"
+STRIP_SQL = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+LANG_SQL = f"""
+fit AS (SELECT lang, text FROM (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 400),
+fg AS (SELECT lang, unnest({GRAMS_SQL}) AS gram FROM (SELECT lang, {STRIP_SQL} AS s FROM fit)),
+fc AS (SELECT lang, gram, count(*) AS c FROM fg GROUP BY ALL),
+ft AS (SELECT lang, sum(c) AS total, count(*) AS v FROM fc GROUP BY lang),
+prof AS (SELECT lang AS plang, gram, ln((c + 1) / (total + v + 1)) AS logp FROM fc JOIN ft USING (lang)),
+dg AS (SELECT doc_id, unnest({GRAMS_SQL}) AS gram FROM (SELECT doc_id, {STRIP_SQL} AS s FROM {{docs}})),
+dc AS (SELECT doc_id, gram, count(*) AS c FROM dg GROUP BY ALL),
+sc AS (SELECT doc_id, l.plang, sum(c * coalesce(logp, ln(1 / 1e9))) / sum(c) AS score FROM dc CROSS JOIN (SELECT DISTINCT plang FROM prof) AS l LEFT JOIN prof ON prof.plang = l.plang AND prof.gram = dc.gram GROUP BY doc_id, l.plang),
+rk AS (SELECT doc_id, plang, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, plang) AS r FROM sc),
+pm AS (SELECT doc_id, max(CASE WHEN r = 1 THEN plang END) AS pred, coalesce(max(CASE WHEN r = 1 THEN score END) - max(CASE WHEN r = 2 THEN score END), 0.0) AS margin FROM rk GROUP BY doc_id)"""
+NEAR_SQL = """
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {docs}),
+g AS (SELECT doc_id, list_slice(list_sort(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: substr(md5(array_to_string(w[i : i + 4], ' ')), 1, 16))), 1, 12) AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS h FROM g),
+f AS (SELECT h, min(doc_id) AS first FROM e GROUP BY h),
+near AS (SELECT doc_id, count(*) AS shared FROM e JOIN f USING (h) WHERE first < doc_id GROUP BY doc_id HAVING count(*) >= 8)"""
+CHARS_SQL = f"list_transform(string_split({{0}}, ''), lambda c: CASE WHEN instr('{ALPHABET}', c) > 0 THEN instr('{ALPHABET}', c) + 6 ELSE 0 END)"
+ENC_SQL = "CASE WHEN {0} = '' THEN [] ELSE " + CHARS_SQL + " END"
+CONV_SQL = f"""
+u AS (SELECT conv_id AS id, list({{'speaker': lower(trim(role)), 'text': {TIDY_SQL.format("text")}}} ORDER BY turn) AS utterances FROM conversations WHERE lower(trim(role)) IN ('user', 'assistant') GROUP BY conv_id),
+s AS (SELECT id, utterances, list_filter(range(0, len(utterances)), lambda i: utterances[i + 1].speaker = 'assistant') AS said FROM u),
+t AS (SELECT id, utterances, said, unnest(CASE WHEN len(said) <= 4 THEN said ELSE list_transform(range(0, 4), lambda k: said[1 + round(k * (len(said) - 1) / 3)::BIGINT]) END) AS target FROM s),
+x AS (SELECT 'tm1-' || id || '-' || target AS ex_id, id AS conv, target, utterances[1 : target + 1] AS turns,
+  CASE WHEN utterances[1].speaker <> 'user' THEN 'root_not_user' WHEN utterances[target + 1].text = '' THEN 'bad_turns' WHEN len(list_filter(utterances[1 : target + 1], lambda y: y.text = '')) > 0 THEN 'empty_context_turn'
+  WHEN len(list_filter(utterances[1 : target + 1], lambda y: contains(y.text, '�'))) > 0 THEN 'corrupt_unicode' ELSE '' END AS reason FROM t),
+ok AS (SELECT * FROM x WHERE reason = '')"""
+ROLE_SQL = "CASE WHEN {0}.speaker = 'user' THEN 5 ELSE 6 END"
+TOKEN_SQL = f"""
+parts AS (SELECT ex_id, conv, list_concat([5], {ENC_SQL.format("turns[-2].text")}, [6]) AS head, {ENC_SQL.format("turns[-1].text")} AS target_ids,
+  CASE WHEN len(turns) <= 2 THEN [] ELSE list_transform(turns[1 : len(turns) - 2], lambda y: list_concat([{ROLE_SQL.format("y")}], {ENC_SQL.format("y.text")})) END AS older FROM ok WHERE len(turns) >= 2),
+fit AS (SELECT *, {{block}} - 1 - (len(head) + len(target_ids) + 1) AS budget FROM parts),
+keep AS (SELECT *, budget < 0 AS too_long, list_filter(range(1, len(older) + 1), lambda i: list_sum(list_transform(older[i : len(older)], lambda y: len(y))) <= budget) AS kept FROM fit),
+whole AS (SELECT ex_id, conv, too_long, len(older) > len(kept) AND NOT too_long AS dropped_turns, len(target_ids) + 1 AS n_supervised,
+  CASE WHEN NOT too_long THEN list_concat([2], flatten(list_transform(kept, lambda i: older[i])), head, target_ids, [3]) END AS ids FROM keep),
+tok AS (SELECT *, len(ids) - n_supervised AS target_start, list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN i >= len(ids) - n_supervised AND i < len(ids) THEN ids[i + 1] ELSE -100 END) AS labels FROM whole)"""
+
+
+def encode(text: Column) -> Column:
+    return tokens.char_ids(text, ALPHABET)
+
+
+def said(c: str) -> Column:
+    """An array of numbers as text, for comparison."""
+    return F.array_join(F.col(c).cast("array<string>"), " ")
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.conversation_examples(chat.tidy_utterances(table(spark, sf_dir, "conversations")))
+    return rows.where("reason = ''").withColumn("source", F.lit("taskmaster1")).withColumn("lang", F.lit("en")).withColumn("split", chat.train_or_val(F.col("id").cast("string")))
+
+
+TOKEN_BLOCK = 1200
+
+
+def tokenized(spark: SparkSession, sf_dir: str, block: int = TOKEN_BLOCK) -> DataFrame:
+    return tokens.tokenized(examples(spark, sf_dir), encode, block)
+
+
+# ---------------------------------------------------------------- text
+
+
+@query("n1_normalize", f"SELECT doc_id, md5({NORMAL_SQL}) AS text_md5, length({NORMAL_SQL}) AS chars FROM documents")
+def n1(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.normalized("text").alias("t")).select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("chars"))
+
+
+@query("n2_strip_tags", "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_md5 FROM pages")
+def n2(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.without_tags("html")).alias("text_md5"))
+
+
+@query("n3_n4_lines", "SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10) || chr(10))) AS blank_md5, md5(replace(text, '_', '')) AS underscore_md5 FROM documents")
+def n3(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.without_blank_lines("text")).alias("blank_md5"), F.md5(T.without_underscores("text")).alias("underscore_md5"))
+
+
+def _wiki_sql() -> str:
+    out = "'[[' || lang || '|' || source || ']] {{' || lang || '}} ''''' || substr(text, 1, 40) || ''''' (  ) 20px | ' || text"
+    for pattern, by in T.WIKI_STEPS:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("U)", ")", 1).replace("(?)", "").replace("'", "''"), by.replace("$1", "\\1"))
+    return out
+
+
+@query("n5_wiki_markup", f"SELECT doc_id, md5({_wiki_sql()}) AS text_md5 FROM documents")
+def n5(spark, sf_dir):
+    marked = F.concat(F.lit("[["), "lang", F.lit("|"), "source", F.lit("]] {{"), "lang", F.lit("}} ''"), F.substring("text", 1, 40), F.lit("'' (  ) 20px | "), "text")
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.without_wiki_markup(marked)).alias("text_md5"))
+
+
+@query("n10_tidy", f"SELECT conv_id, turn, {TIDY_SQL.format('text')} AS text FROM conversations")
+def n10(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tidy("text").alias("text"))
+
+
+@query("n11_measures", f"SELECT doc_id, length(text) AS chars, {WORDS_SQL.format('text')} AS words FROM documents")
+def n11(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("chars"), T.word_count("text").alias("words"))
+
+
+# ---------------------------------------------------------------- filters
+
+
+@query("p1_p5_quality", f"WITH {QUALITY_SQL} SELECT doc_id, round(repeated, 9) AS repeated, round(duplicate, 9) AS duplicate, round(prose, 9) AS prose, reason FROM q")
+def p5(spark, sf_dir):
+    n = documents(spark, sf_dir).select("doc_id", T.normalized("text").alias("text"))
+    ratios = [F.round(f("text"), 9).alias(c) for c, f in (("repeated", T.repeated_char_ratio), ("duplicate", T.duplicate_line_ratio), ("prose", T.prose_line_ratio))]
+    return n.select("doc_id", *ratios, F.when(F.col("text") == "", "empty").otherwise(T.quality_reason("text")).alias("reason"))
+
+
+@query("p6_p8_language_scores", f"WITH {LANG_SQL.format(docs='documents')} SELECT doc_id, plang, round(score, 8) AS score FROM sc")
+def p8(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    profile = langid.profiles(langid.training_rows(docs, "doc_id", "lang", 400))
+    return langid.scores(docs, profile, "doc_id").withColumn("score", F.round("score", 8))
+
+
+@query("p9_p11_language_gate", f"WITH {LANG_SQL.format(docs='documents')} SELECT doc_id, pred, round(margin, 8) AS margin, pred <> lang OR margin < 0.5 AS wrong_language FROM documents JOIN pm USING (doc_id)")
+def p11(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    profile = langid.profiles(langid.training_rows(docs, "doc_id", "lang", 400))
+    return langid.gate(docs, profile, "doc_id", "de").select("doc_id", "pred", F.round("margin", 8).alias("margin"), "wrong_language")
+
+
+@query(
+    "p13_p14_pathological",
+    """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents),
+    s AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM c WHERE NOT regexp_matches(c, '^\\s$')),
+    r AS (SELECT doc_id, max(n) AS run FROM (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id, c, g) GROUP BY doc_id),
+    h AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id, c) GROUP BY doc_id)
+    SELECT doc_id, contains(text, '�') AS corrupted, length(text) >= 2 AND (coalesce(run, 0) >= 15 OR (length(text) >= 10 AND coalesce(most, 0) / length(text) >= 0.5)) AS pathological FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN h USING (doc_id)""",
+)
+def p14(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.is_corrupted("text").alias("corrupted"), T.is_pathological("text").alias("pathological"))
+
+
+_HITS = "len(list_filter([{}], lambda w: contains(' ' || lower({{0}}) || ' ', ' ' || w || ' ')))".format(", ".join(f"'{w}'" for w in T.ENGLISH_WORDS))
+
+
+@query(
+    "p15_p16_english",
+    f"""WITH p AS (SELECT doc_id, substr(text, 1, 60) AS a, substr(text, 61) AS b FROM documents)
+    SELECT doc_id, {_HITS.format('a')} AS hits, NOT regexp_matches(a || ' ' || b, '[\\x{{0400}}-\\x{{04FF}}\\x{{0600}}-\\x{{06FF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{3040}}-\\x{{30FF}}\\x{{AC00}}-\\x{{D7AF}}\\x{{0E00}}-\\x{{0E7F}}]')
+    AND NOT (({WORDS_SQL.format('a')} >= 4 OR {WORDS_SQL.format('b')} >= 6) AND {_HITS.format('a')} < 2 AND {_HITS.format('b')} < 2) AS looks_english FROM p""",
+)
+def p16(spark, sf_dir):
+    p = documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 60).alias("a"), F.expr("substring(text, 61)").alias("b"))
+    return p.select("doc_id", T.english_hits("a").cast("long").alias("hits"), T.looks_english("a", "b").alias("looks_english"))
+
+
+@query("p24_probes", f"""WITH {CONV_SQL}, p AS (SELECT DISTINCT lower({TIDY_SQL.format('text')}) AS t FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations WHERE turn = 0 AND conv_id % 7 = 0)),
+    hit AS (SELECT DISTINCT ex_id FROM (SELECT ex_id, unnest(turns) AS y FROM ok) WHERE y.speaker = 'user' AND lower(y.text) IN (SELECT t FROM p))
+    SELECT ok.ex_id, hit.ex_id IS NOT NULL AS probe FROM ok LEFT JOIN hit ON hit.ex_id = ok.ex_id""")
+def p24(spark, sf_dir):
+    """Probes: the benchmark, and the first turns of every seventh conversation, so that some examples are hit."""
+    probes = table(spark, sf_dir, "benchmark").select("text").unionByName(table(spark, sf_dir, "conversations").where("turn = 0 AND conv_id % 7 = 0").select("text"))
+    rows = examples(spark, sf_dir)
+    hits = chat.probe_hits(rows, probes, "ex_id").withColumn("hit", F.lit(True))
+    return rows.select("ex_id").join(hits, "ex_id", "left").select("ex_id", F.coalesce("hit", F.lit(False)).alias("probe"))
+
+
+# ---------------------------------------------------------------- deduplication, splits, samples
+
+
+@query("d1_exact_dedup", "SELECT doc_id, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) > 1 AS exact_dup FROM documents")
+def d1(spark, sf_dir):
+    return dedup.exact_duplicates(documents(spark, sf_dir), "doc_id").select("doc_id", "exact_dup")
+
+
+@query("d3_d5_near_dedup", f"WITH kept AS (SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) = 1),{NEAR_SQL.format(docs='kept')} SELECT kept.doc_id, near.doc_id IS NOT NULL AS near_dup FROM kept LEFT JOIN near ON near.doc_id = kept.doc_id")
+def d5(spark, sf_dir):
+    docs = dedup.exact_dedup(documents(spark, sf_dir), "doc_id")
+    return dedup.near_duplicates(docs, "doc_id", algorithm="md5").select("doc_id", "near_dup")
+
+
+@query("d2_near_dedup_blake2b")
+def d2(spark, sf_dir):
+    docs = dedup.exact_dedup(documents(spark, sf_dir), "doc_id")
+    return dedup.near_duplicates(docs, "doc_id").select("doc_id", "near_dup")
+
+
+@query("d6_d7_splits", f"WITH b AS (SELECT doc_id, {BUCKET_SQL.format('doc_id::VARCHAR', 100)} AS b FROM documents) SELECT doc_id, b AS bucket, CASE WHEN b < 98 THEN 'train' WHEN b < 99 THEN 'val' ELSE 'test' END AS split, CASE WHEN b < 95 THEN 'train' ELSE 'val' END AS chat_split FROM b")
+def d6(spark, sf_dir):
+    key = F.col("doc_id").cast("string")
+    return documents(spark, sf_dir).select("doc_id", T.bucket(key, 100).alias("bucket"), T.doc_split(key).alias("split"), chat.train_or_val(key).alias("chat_split"))
+
+
+@query("d8_content_ids", "SELECT doc_id, 'aya-' || lang || '-' || substr(sha256(lang || '|' || substr(text, 1, 50) || '|' || substr(text, 51)), 1, 24) AS id FROM documents")
+def d8(spark, sf_dir):
+    a, b = F.substring("text", 1, 50), F.expr("substring(text, 51)")
+    return documents(spark, sf_dir).select("doc_id", chat.content_id(F.concat(F.lit("aya-"), "lang", F.lit("-")), F.col("lang"), a, b).alias("id"))
+
+
+@query(
+    "d9_cross_source",
+    """WITH e AS (SELECT doc_id AS ord, source, lower(substr(text, 1, 2)) AS prompt, lower(substr(text, 3, 1)) AS target FROM documents),
+    f AS (SELECT *, row_number() OVER w > 1 AS dup, first_value(source) OVER w AS fs FROM e WINDOW w AS (PARTITION BY prompt, target ORDER BY ord)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY ord) > 1 AS seen FROM f WHERE NOT dup),
+    r AS (SELECT 'rejected_duplicates' AS kind FROM f WHERE dup UNION ALL SELECT 'dup_pair_' || CASE WHEN fs = source THEN fs ELSE least(fs, source) || '|' || greatest(fs, source) END FROM f WHERE dup UNION ALL SELECT 'kept' FROM k UNION ALL SELECT 'prompt_only_duplicates' FROM k WHERE seen)
+    SELECT kind, count(*) AS n FROM r GROUP BY kind""",
+)
+def d9(spark, sf_dir):
+    """Prompt and target: the first characters of documents, so that pairs collide across sources."""
+    e = documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), "source", F.lower(F.substring("text", 1, 2)).alias("prompt"), F.lower(F.substring("text", 3, 1)).alias("target"))
+    return dedup.cross_source_report(e)
+
+
+@query("d11_t4_conversation_examples", f"WITH {CONV_SQL} SELECT ex_id, target, reason, len(turns) AS n_turns, md5(array_to_string(list_transform(turns, lambda y: y.speaker || ':' || y.text), chr(10))) AS turns_md5 FROM x")
+def t4(spark, sf_dir):
+    rows = chat.conversation_examples(chat.tidy_utterances(table(spark, sf_dir, "conversations")))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return rows.select("ex_id", F.col("target").cast("long").alias("target"), "reason", F.size("turns").cast("long").alias("n_turns"), F.md5(text).alias("turns_md5"))
+
+
+@query("d14_sample", "SELECT lang, doc_id, rank, excerpt FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('1234:' || doc_id), doc_id) AS rank, substr(text, 1, 300) AS excerpt FROM documents) WHERE rank <= 5")
+def d14(spark, sf_dir):
+    return sampling.sample_each(documents(spark, sf_dir), 5, "doc_id")
+
+
+@query("d15_deterministic_sample", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents), i AS (SELECT range AS draw FROM range(0, 20)) SELECT draw, doc_id FROM i JOIN r ON r.at = (1337 * 2654435761 + draw * 40503) % 2147483648 % r.n")
+def d15(spark, sf_dir):
+    return sampling.deterministic_sample(documents(spark, sf_dir).select("doc_id"), 20, 1337, "doc_id").select("draw", "doc_id")
+
+
+@query("d16_evaluation_subset", "SELECT doc_id FROM documents ORDER BY sha256('7:' || doc_id) LIMIT 64")
+def d16(spark, sf_dir):
+    return sampling.evaluation_subset(documents(spark, sf_dir).select("doc_id"), 8, 8, "doc_id", 7)
+
+
+@query("d17_epoch_order", "SELECT doc_id, row_number() OVER (ORDER BY sha256('1:3:' || doc_id)) AS place FROM documents")
+def d17(spark, sf_dir):
+    rows = sampling.epoch_order(documents(spark, sf_dir).select("doc_id"), 1, 3, "doc_id")
+    head = rows.withColumn("__slice", F.substring("order_key", 1, 2))
+    sizes = head.groupBy("__slice").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("__slice").orderBy("order_key"))
+    return head.withColumn("rn", place).join(before, "__slice").select("doc_id", (F.col("before") + F.col("rn")).alias("place"))
+
+
+# ---------------------------------------------------------------- tokens
+
+
+@query("t6_char_tokens", f"SELECT conv_id, turn, array_to_string({CHARS_SQL.format('text')}, ' ') AS ids FROM conversations")
+def t6(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", encode(F.col("text")).alias("ids")).withColumn("ids", said("ids"))
+
+
+@query(
+    "t7_a10_packing",
+    f"""WITH n AS (SELECT doc_id, lang, 2 + {WORDS_SQL.format('text')} AS n, CASE WHEN b < 98 THEN 'train' WHEN b < 99 THEN 'val' ELSE 'test' END AS split FROM (SELECT *, {BUCKET_SQL.format('doc_id::VARCHAR', 100)} AS b FROM documents)),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY doc_id) AS upto FROM n)
+    SELECT split, lang, count(*) AS docs, sum(n)::BIGINT AS tokens, max(upto)::BIGINT AS last FROM c WHERE upto <= CASE lang WHEN 'en' THEN 100000 ELSE 20000 END OR upto = n GROUP BY split, lang""",
+)
+def t7(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "lang", (2 + T.word_count("text")).alias("n"), T.doc_split(F.col("doc_id").cast("string")).alias("split"))
+    kept = tokens.packed(docs, {"en": 100_000, "fr": 20_000, "de": 20_000, "es": 20_000}, "doc_id")
+    return kept.groupBy("split", "lang").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.max("upto").alias("last"))
+
+
+@query("t8_tokenized", f"WITH {CONV_SQL},{TOKEN_SQL.format(block=TOKEN_BLOCK)} SELECT ex_id, too_long, dropped_turns, CASE WHEN NOT too_long THEN n_supervised END AS n_supervised, target_start, array_to_string(ids, ' ') AS ids, array_to_string(labels, ' ') AS labels FROM tok")
+def t8(spark, sf_dir):
+    rows = tokenized(spark, sf_dir)
+    return rows.select("ex_id", "too_long", "dropped_turns", F.col("n_supervised").cast("long").alias("n_supervised"), F.col("target_start").cast("long").alias("target_start"), said("ids").alias("ids"), said("labels").alias("labels"))
+
+
+@query(
+    "t9_t10_prompts",
+    f"""WITH {CONV_SQL}, o AS (SELECT id, utterances AS h, list_transform(utterances[1 : len(utterances) - 1], lambda y: list_concat([{ROLE_SQL.format('y')}], {ENC_SQL.format('y.text')})) AS older, list_concat([5], {ENC_SQL.format('utterances[-1].text')}, [6]) AS core FROM u),
+    k AS (SELECT *, list_filter(range(1, len(older) + 1), lambda i: list_sum(list_transform(older[i : len(older)], lambda y: len(y))) <= 800 - len(core) - 6) AS kept FROM o)
+    SELECT id, array_to_string(list_concat([2, 4], {CHARS_SQL.format("'Help'")}, flatten(list_transform(kept, lambda i: older[i])), core), ' ') AS history, array_to_string(list_concat([2], flatten(list_transform(h, lambda y: list_concat([{ROLE_SQL.format('y')}], {ENC_SQL.format('y.text')}))), [6]), ' ') AS prompt FROM k""",
+)
+def t9(spark, sf_dir):
+    rows = chat.tidy_utterances(table(spark, sf_dir, "conversations"))
+    turns = F.transform("utterances", lambda u: F.struct(u["speaker"].alias("role"), u["text"].alias("text")))
+    rows = rows.select("id", turns.alias("h"))
+    return rows.select("id", tokens.history_ids(F.col("h"), encode, "Help", 800).alias("history"), tokens.prompt_ids(F.col("h"), encode).alias("prompt")).select("id", said("history").alias("history"), said("prompt").alias("prompt"))
+
+
+@query("t11_trim", f"SELECT conv_id, turn, array_to_string(CASE WHEN list_position(list_transform(i, lambda v: v IN (3, 5, 6, 68)), true) > 0 THEN i[1 : list_position(list_transform(i, lambda v: v IN (3, 5, 6, 68)), true) - 1] ELSE i END, ' ') AS ids FROM (SELECT conv_id, turn, {CHARS_SQL.format('text')} AS i FROM conversations)")
+def t11(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", encode(F.col("text")).alias("i"))
+    return rows.select("conv_id", "turn", tokens.trimmed_reply(F.col("i"), [3, 5, 6, 68]).alias("ids")).withColumn("ids", said("ids"))
+
+
+@query("t12_line_stream", f"SELECT doc_id, line, array_to_string(list_concat([2], {CHARS_SQL.format('t')}, [3]), ' ') AS ids FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, trim(unnest(string_split(text, chr(10)))) AS t FROM documents) WHERE t <> ''")
+def t12(spark, sf_dir):
+    return tokens.text_to_stream(documents(spark, sf_dir), encode, "doc_id").withColumn("ids", said("ids"))
+
+
+@query("t13_windows")
+def t13(spark, sf_dir):
+    stream = table(spark, sf_dir, "events").select((F.col("event_id") - F.lit(table(spark, sf_dir, "events").agg(F.min("event_id")).first()[0])).alias("pos"), F.pmod(F.col("user_id"), F.lit(100)).cast("int").alias("token"))
+    return tokens.windows(stream, 16, 64, 3).select("row", said("x").alias("x"), said("y").alias("y"))
+
+
+@query(
+    "t14_a15_batches",
+    f"""WITH {CONV_SQL},{TOKEN_SQL.format(block=TOKEN_BLOCK)}, g AS (SELECT *, (row_number() OVER (ORDER BY conv * 1000 + split_part(ex_id, '-', 3)::BIGINT) - 1) // 8 AS batch FROM tok WHERE NOT too_long)
+    SELECT batch::BIGINT AS batch, sum(len(list_filter(labels, lambda v: v <> -100)))::BIGINT AS supervised, (count(*) * max(len(ids)))::BIGINT AS total FROM g GROUP BY batch""",
+)
+def t14(spark, sf_dir):
+    rows = tokenized(spark, sf_dir).where("not too_long").withColumn("ord", F.col("id") * 1000 + F.col("target"))
+    return stats.step_tokens(tokens.batches(rows, "ord", 8), "batch")
+
+
+@query(
+    "t17_tokenizer_stats",
+    f"SELECT sum(length(text))::BIGINT AS tokens, round(sum(length(text)) / greatest(sum(length(text)), 1), 3) AS tokens_per_char, round(sum(length(text)) / greatest(sum({WORDS_SQL.format('text')}), 1), 3) AS tokens_per_word, sum(len(list_filter({CHARS_SQL.format('text')}, lambda i: i = 0)))::BIGINT AS unk_tokens, sum((len(list_filter({CHARS_SQL.format('text')}, lambda i: i = 0)) = 0)::INT)::BIGINT AS exact FROM conversations",
+)
+def t17(spark, sf_dir):
+    return tokens.tokenizer_stats(table(spark, sf_dir, "conversations"), encode, lambda ids: tokens.decoded(ids, ALPHABET))
+
+
+@query("t5_pieces")
+def t5(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = tokens.piece_ids(public_tokenizers.path("piece_bpe_32k.model"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", pieces("text").alias("ids")).select("conv_id", "turn", F.size("ids").cast("long").alias("n"), said("ids").alias("ids"))
+
+
+# ---------------------------------------------------------------- reports
+
+
+@query(
+    "a1_cleaning",
+    f"""WITH {QUALITY_SQL}, pass AS (SELECT doc_id, lang, source, text FROM q WHERE reason = ''),{LANG_SQL.format(docs='pass')},
+    good AS (SELECT pass.*, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) > 1 AS dup FROM pass JOIN pm USING (doc_id) WHERE NOT (pred <> lang OR margin < 0.5)), kept AS (SELECT doc_id, text FROM good WHERE NOT dup),{NEAR_SQL.format(docs='kept')},
+    o AS (SELECT q.lang, q.text, q.source || ':' || q.doc_id AS id, CASE WHEN reason <> '' THEN reason WHEN good.doc_id IS NULL THEN 'wrong_language' WHEN dup THEN 'exact_duplicate' WHEN near.doc_id IS NOT NULL THEN 'near_duplicate' ELSE 'accepted' END AS outcome
+      FROM q LEFT JOIN good ON good.doc_id = q.doc_id LEFT JOIN near ON near.doc_id = q.doc_id),
+    b AS (SELECT *, {BUCKET_SQL.format('id', 100)} AS b FROM o)
+    SELECT lang, outcome, CASE WHEN outcome <> 'accepted' THEN '' WHEN b < 98 THEN 'train' WHEN b < 99 THEN 'val' ELSE 'test' END AS split, count(*) AS docs, sum(length(text))::BIGINT AS chars, sum({WORDS_SQL.format('text')})::BIGINT AS words FROM b GROUP BY ALL""",
+)
+def a1(spark, sf_dir):
+    return cleaning.counters(cleaning.cleaned(documents(spark, sf_dir), algorithm="md5"))
+
+
+@query(
+    "a2_corpus_stats",
+    f"WITH b AS (SELECT *, {BUCKET_SQL.format('doc_id::VARCHAR', 100)} AS b FROM documents) SELECT lang, count(*) AS docs, sum(length(text))::BIGINT AS chars, sum({WORDS_SQL.format('text')})::BIGINT AS words, count(*) FILTER (b < 98) AS train, count(*) FILTER (b = 98) AS val, count(*) FILTER (b = 99) AS test FROM b GROUP BY lang",
+)
+def a2(spark, sf_dir):
+    return stats.corpus_stats(documents(spark, sf_dir).withColumn("split", T.doc_split(F.col("doc_id").cast("string"))))
+
+
+def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenized examples with languages and sources dealt out by conversation, and the weights of D12."""
+    rows = tokenized(spark, sf_dir).where("not too_long")
+    rows = rows.withColumns({"lang": F.when(F.col("id") % 10 == 0, "fil").otherwise("en"), "source": F.element_at(F.array(*map(F.lit, ("aya", "oasst1", "dolly", "taskmaster1", "taskmaster1"))), (F.col("id") % 5 + 1).cast("int"))})
+    return chat.sampling_weights(rows)[1]
+
+
+@query("d12_sampling_weights")
+def d12(spark, sf_dir):
+    return weighted(spark, sf_dir).groupBy("source", "lang").agg(F.max("weight").alias("weight"), F.max("copies").alias("copies"), F.sum("n_supervised").alias("tokens"))
+
+
+@query(
+    "a5_d13_example_stats",
+    f"""WITH {CONV_SQL},{TOKEN_SQL.format(block=TOKEN_BLOCK)}, r AS (SELECT *, CASE WHEN conv % 10 = 0 THEN 'fil' ELSE 'en' END AS lang, 'src' || conv % 5 AS source, 1 + conv % 3 AS copies, CASE WHEN {BUCKET_SQL.format('conv::VARCHAR', 100)} < 95 THEN 'train' ELSE 'val' END AS split FROM tok WHERE NOT too_long)
+    SELECT split, lang, source, count(*) AS examples, sum(n_supervised)::BIGINT AS unique_tokens, sum(n_supervised * copies)::BIGINT AS effective_tokens, max(len(ids))::BIGINT AS max_length FROM r GROUP BY GROUPING SETS ((split, lang), (split, source), ())""",
+)
+def a5(spark, sf_dir):
+    rows = tokenized(spark, sf_dir).where("not too_long")
+    rows = rows.withColumns({"lang": F.when(F.col("id") % 10 == 0, "fil").otherwise("en"), "source": F.concat(F.lit("src"), (F.col("id") % 5).cast("string")), "copies": 1 + F.col("id") % 3})
+    return stats.example_stats(rows)
+
+
+@query("d13_oversampled", f"WITH {CONV_SQL} SELECT ex_id, copy FROM (SELECT ex_id, unnest(range(0, 1 + conv % 3)) AS copy FROM ok)")
+def d13(spark, sf_dir):
+    return chat.oversampled(examples(spark, sf_dir).withColumn("copies", 1 + F.col("id") % 3)).select("ex_id", F.col("copy").cast("long").alias("copy"))
+
+
+@query(
+    "a6_a8_rates",
+    f"""WITH {CONV_SQL},{TOKEN_SQL.format(block=TOKEN_BLOCK)}, r AS (SELECT *, ids[1 : target_start] AS p, ids[target_start + 1 : len(ids)] AS t, list_filter(range(1, len(ids) + 1), lambda i: labels[i] <> -100) AS known, CASE WHEN {BUCKET_SQL.format('conv::VARCHAR', 100)} < 95 THEN 'train' ELSE 'val' END AS split FROM tok WHERE NOT too_long)
+    SELECT round(sum(len(list_filter(p, lambda v: v = 0))) / greatest(1, sum(len(p))), 6) AS prompt_unk_rate, round(sum(len(list_filter(t, lambda v: v = 0))) / greatest(1, sum(len(t))), 6) AS target_unk_rate,
+    round(sum(len(list_filter(known, lambda i: labels[i] = ids[i]))) / greatest(1, sum(len(known))), 6) AS identity_fraction, sum(len(known))::BIGINT AS supervised, coalesce(sum(n_supervised) FILTER (split = 'train'), 0)::BIGINT AS tokens, coalesce(sum(n_supervised) FILTER (split = 'train'), 0) >= 1000000 AS passes FROM r""",
+)
+def a6(spark, sf_dir):
+    rows = tokens.checked(tokenized(spark, sf_dir).where("not too_long"), TOKEN_BLOCK)
+    # Three reports of one row each.
+    return stats.unk_rates(rows).join(stats.label_identity(rows), how="cross").join(stats.token_gate(rows), how="cross")
+
+
+@query(
+    "j6_leakage",
+    f"WITH {CONV_SQL}, r AS (SELECT ex_id, conv, CASE WHEN {BUCKET_SQL.format('conv::VARCHAR', 100)} < 95 THEN 'train' ELSE 'val' END AS s1, CASE WHEN {BUCKET_SQL.format('ex_id', 100)} < 95 THEN 'train' ELSE 'val' END AS s2 FROM ok) SELECT 'by_conversation' AS kind, (SELECT count(*) FROM (SELECT conv FROM r WHERE s1 = 'train' INTERSECT SELECT conv FROM r WHERE s1 = 'val')) AS leaked UNION ALL SELECT 'by_example', (SELECT count(*) FROM (SELECT conv FROM r WHERE s2 = 'train' INTERSECT SELECT conv FROM r WHERE s2 = 'val'))",
+)
+def j6(spark, sf_dir):
+    rows = examples(spark, sf_dir)
+    loose = rows.withColumn("split", chat.train_or_val("ex_id"))
+    count = lambda r, kind: chat.leaks(r, "id").agg(F.count("*").alias("leaked")).select(F.lit(kind).alias("kind"), "leaked")
+    return count(rows, "by_conversation").unionByName(count(loose, "by_example"))
+
+
+@query(
+    "a11_a12_reply_text",
+    """WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '\\S+') AS w, regexp_extract_all(lower(text), '[a-z'']+') AS e FROM conversations), h AS (SELECT *, len(list_filter(e, lambda x: list_contains([%s], x))) AS hits FROM w)
+    SELECT conv_id, turn, round(CASE WHEN len(w) < 3 THEN 0.0 ELSE 1 - list_unique(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) / (len(w) - 1) END, 9) AS repetition, CASE WHEN len(e) = 0 THEN 'unknown' WHEN hits / len(e) >= 0.25 THEN 'fil' ELSE 'eng' END AS estimate, hits AS tl_hits, round(hits / greatest(len(e), 1), 4) AS tl_ratio FROM h"""
+    % ", ".join(f"'{w}'" for w in T.FILIPINO_WORDS),
+)
+def a11(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(T.repetition_score("text"), 9).alias("repetition"), T.language_guess("text").alias("g"))
+    return rows.select("conv_id", "turn", "repetition", "g.*")
+
+
+@query("a13_a14_reply_report")
+def a14(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    rows = rows.select("text", F.when(F.col("conv_id") % 2 == 0, "eng").otherwise("fil").alias("prompt_lang"), F.concat(encode(F.col("text")), tokens.ints(3)).alias("ids"))
+    return stats.reply_report(rows.select("text", "prompt_lang", *stats.reply_metrics(F.col("ids"), F.col("text"), 3, list(range(7)))))
+
+
+@query("a16_retention", "SELECT event_id, value > 50 * 1.15 AS hard_stop, value <= 50 * 1.10 AS eligible FROM events")
+def a16(spark, sf_dir):
+    stop, eligible = sampling.retention(F.col("value"), 50.0)
+    return table(spark, sf_dir, "events").select("event_id", stop.alias("hard_stop"), eligible.alias("eligible"))
+
+
+@query("a17_learning_rate", "SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.0003 * (event_id + 1) / 100 WHEN event_id > 5000 THEN 0.00003 ELSE 0.00003 + 0.5 * (1 + cos((event_id - 100) / 4900 * pi())) * (0.0003 - 0.00003) END, 12) AS lr FROM events")
+def a17(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(sampling.learning_rate(F.col("event_id"), 5000, 100, 0.0003, 0.00003), 12).alias("lr"))
+
+
+@query(
+    "top_k_top_p",
+    """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE / 0.8 AS x, generate_subscripts(embedding, 1) - 1 AS id FROM embeddings), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, id) AS r, max(x) OVER (PARTITION BY vec_id) AS top FROM e),
+    t AS (SELECT * FROM k WHERE r <= 20), c AS (SELECT *, exp(x - top) AS w FROM t), s AS (SELECT *, sum(w) OVER (PARTITION BY vec_id ORDER BY r) - w AS before, sum(w) OVER (PARTITION BY vec_id) AS total FROM c)
+    SELECT vec_id, array_to_string(list(id ORDER BY r), ' ') AS ids FROM s WHERE before <= 0.9 * total GROUP BY vec_id""",
+)
+def top(spark, sf_dir):
+    kept = sampling.kept_logits(table(spark, sf_dir, "embeddings"), "embedding", 0.8, 20, 0.9)
+    return kept.select("vec_id", said("ids").alias("ids"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """The cleaning plan's counters."""
+    return cleaning.counters(cleaning.cleaned(documents(spark, sf_dir)))
