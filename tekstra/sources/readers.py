@@ -52,7 +52,7 @@ def wiki_dump(spark: SparkSession, path: str, source: str, lang: str) -> DataFra
 def book_catalog(spark: SparkSession, path: str, first: int = 400) -> DataFrame:
     """The first English texts of a catalog in CSV (gzip as well): number and title."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    english = F.arrays_overlap(F.transform(F.split("Language", ","), F.trim), F.array(F.lit("en"), F.lit("en_US"), F.lit("en-GB")))
+    english = F.arrays_overlap(F.transform(F.split("Language", ","), lambda x: F.trim(x)), F.array(F.lit("en"), F.lit("en_US"), F.lit("en-GB")))
     rows = rows.where(english & (F.col("Type") == "Text") & F.col("`Text#`").rlike("^\\d+$"))
     title = F.substring(F.regexp_replace("Title", "\\r\\n|[\\r\\n]", " "), 1, 120)
     return rows.withColumn("__at", F.monotonically_increasing_id()).orderBy("__at").limit(first).select(F.col("`Text#`").cast("long").alias("number"), title.alias("title"))

@@ -67,7 +67,7 @@ def test_quality_rules_in_order(spark):
 
 def test_wiki_markup(spark):
     values = ["'''Bold''' and ''it'' [[a|b]] [[c]] {{t|x}} [[File:x.jpg|thumb|20px|a caption]] ( ) end", "thumb | left|x\nright | y 100px |"]
-    assert run(spark, T.without_wiki_markup, values) == ["Bold and it b c   a caption  end", " left|x\n y "]
+    assert run(spark, T.without_wiki_markup, values) == ["Bold and it b c   a caption  end", " | left|x\n y "]
 
 
 def test_english(spark):

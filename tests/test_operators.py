@@ -104,18 +104,18 @@ def test_tokenized_and_batches(spark):
         turns = [("user" if rng.random() < 0.6 else "assistant", "".join(rng.choices(ABC + "é", k=rng.randint(0, 14)))) for _ in range(rng.randint(2, 7))]
         rows.append((i, turns))
     df = spark.createDataFrame(rows, "i long, turns array<struct<role:string,text:string>>")
-    out = tokens.tokenized(df, encode, 40).collect()
+    out = tokens.tokenized(df, encode, 30).collect()
     for r in out:
-        want = tokenized_plain([tuple(t) for t in r.turns], 40)
+        want = tokenized_plain([tuple(t) for t in r.turns], 30)
         assert (None if r.too_long else (r.ids, r.labels, r.target_start, r.n_supervised, r.dropped_turns)) == want
     assert any(r.too_long for r in out) and any(r.dropped_turns for r in out)
-    kept = tokens.checked(tokens.tokenized(df, encode, 40).where("not too_long"), 40)
+    kept = tokens.checked(tokens.tokenized(df, encode, 30).where("not too_long"), 30)
     padded = tokens.batches(kept, "i", 8).collect()
     for b in {r.batch for r in padded}:
         mine = [r for r in padded if r.batch == b]
         assert len({len(r.ids) for r in mine}) == 1 and len(mine) <= 8 and all(len(r.ids) == len(r.labels) for r in mine)
     with pytest.raises(Exception, match="bad lengths"):
-        tokens.checked(kept.withColumn("labels", F.array(F.lit(1))), 40).select("ids").collect()
+        tokens.checked(kept.withColumn("labels", F.array(F.lit(1))), 30).select("ids").collect()
 
 
 def test_history_prompt_trim_and_alphabet(spark):
