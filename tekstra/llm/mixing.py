@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Mean of one draw at most, and the largest count its table has: a draw of mean 16 is above 96 with probability 1e-40.
 CHUNK, TOP = 16.0, 96
 #: Sources whose rates may be broadcast: some hundred bytes each, tables included a kilobyte.
@@ -29,6 +31,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float,
     sizes = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).cast("double").alias("chars"))
     given = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("source")] if weights else F.lit(None).cast("double")
     sizes = sizes.withColumn("given", given).withColumn("mass", F.when(F.col("given").isNull(), F.pow("chars", F.lit(temperature))))
+    sizes = stored(sizes)
     total, masses, fixed = sizes.agg(F.sum("chars"), F.sum("mass"), F.sum("given")).first()
     rest = max(0.0, 1 - (fixed or 0.0)) if weights else 1.0
     share = F.coalesce(F.col("given") / max(1.0, fixed or 0.0), F.lit(rest) * F.col("mass") / (masses or 1.0))
@@ -52,13 +55,13 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, tempera
     A null source counts as ""; a null id hashes as "null"; a source without characters has rate 0.
     Repeated rows of one id draw alike. An empty table gives an empty table.
     """
-    found = rates(docs, weights, temperature, epochs, source, text)
+    found = stored(rates(docs, weights, temperature, epochs, source, text))
     if found.count() <= MAX_BROADCAST:
         found = F.broadcast(found)
     ident = F.coalesce(F.col("doc")[key].cast("string"), F.lit("null"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(source), F.lit("")).alias("source")).join(found, "source")
-    draws = F.transform(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1), lambda j: F.size(F.filter(F.col("cdf"), lambda x: x <= F.col("u")[j.cast("int")])))
-    rows = rows.withColumn("u", F.transform(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1), lambda j: uniform(F.lit(str(seed)), ident, j.cast("string"))))
+    drawn = F.transform(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1), lambda j: uniform(F.lit(str(seed)), ident, j.cast("string")))
+    draws = F.transform(drawn, lambda u: F.size(F.filter("cdf", lambda x: x <= u)))
     rows = rows.withColumn("n_copies", F.aggregate(draws, F.lit(0), lambda a, x: a + x).cast("long")).where("n_copies > 0")
     rows = rows.select("doc", "rate", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), ident, F.col("copy").cast("string")))
