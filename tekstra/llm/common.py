@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Rows and text bytes that one Arrow batch brings to Python at most (a single longer text still comes whole).
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
+_STORED: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,5 +68,13 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes a table into the shared folder and reads it again: later stages survive lost executors."""
     spark = df.sparkSession
     path = f"{shared(spark)}/tekstra-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that this process has stored; results that were made of them must be written by then."""
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -288,3 +288,20 @@ def op10(docs: DataFrame) -> DataFrame:
     null = F.lit(None).cast("long")
     out = memberships(docs).select(F.when(F.col("id") != LAST, F.col("id")).otherwise(null).alias("doc_id"), "n_shingles", F.when(F.col("component") != LAST, F.col("component")).otherwise(null).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+#: DuckDB SQL for op10's rows. Candidates share one of the rarest shingles of each: two sets of similarity 0.8 have at
+#: least 0.8 of either in common, so one shingle among the first n - ceil(0.8 n) + 1 in any one order.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+f AS (SELECT g, count(*) AS df FROM e GROUP BY g),
+p AS (SELECT doc_id, g FROM e JOIN f USING (g) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, g) <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p AS x JOIN p AS y ON x.g = y.g AND x.doc_id < y.doc_id),
+i AS (SELECT a, b, len(list_intersect(x.s, y.s)) AS inter, len(x.s) + len(y.s) AS total FROM c JOIN s AS x ON x.doc_id = a JOIN s AS y ON y.doc_id = b),
+l AS (SELECT a, b FROM i WHERE 100 * inter >= 80 * (total - inter)),
+k AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, k.b FROM r JOIN k ON k.a = r.b)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) ON a = doc_id
+"""

@@ -63,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_poisson_mix": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_poisson_mix": mixing.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL}

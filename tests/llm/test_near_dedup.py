@@ -100,3 +100,15 @@ def test_bitmaps_bound_the_intersection():
         a, b = x[: len(x) * 2 // 3], x[len(x) // 3 :]
         p, q = (np.frombuffer(nd.bitmap(s), np.uint64) for s in (a, b))
         assert min(len(a) - np.bitwise_count(p & ~q).sum(), len(b) - np.bitwise_count(q & ~p).sum()) >= len(np.intersect1d(a, b))
+
+
+def test_sql_says_the_same():
+    import duckdb
+    import pyarrow.parquet as pq
+
+    for sf in ("0.001", "0.01"):
+        path = f"/root/testdata/sf{sf}/documents.parquet"
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+        rows = pq.read_table(path, columns=["doc_id", "text"]).to_pylist()
+        assert sorted(con.sql(f"SELECT doc_id, n_shingles, component_id FROM ({nd.ORACLE_SQL})").fetchall()) == sorted(brute([(r["doc_id"], r["text"]) for r in rows]))
