@@ -475,7 +475,7 @@ def a14(spark, sf_dir):
     return stats.reply_report(rows.select("text", "prompt_lang", *stats.reply_metrics(F.col("ids"), F.col("text"), 3, list(range(7)))))
 
 
-@query("a16_retention", "SELECT event_id, value > 50 * 1.15 AS hard_stop, value <= 50 * 1.10 AS eligible FROM events")
+@query("a16_retention", "SELECT event_id, value > 50::DOUBLE * 1.15::DOUBLE AS hard_stop, value <= 50::DOUBLE * 1.10::DOUBLE AS eligible FROM events")
 def a16(spark, sf_dir):
     stop, eligible = sampling.retention(F.col("value"), 50.0)
     return table(spark, sf_dir, "events").select("event_id", stop.alias("hard_stop"), eligible.alias("eligible"))
