@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,11 +77,21 @@ def hash_of_all(spark: SparkSession, path: str) -> str:
 
 def sources_page(records: DataFrame, ord: str) -> str:
     """K6: the sources as a page of Markdown. Records are few."""
-    rows: pd.DataFrame = records.orderBy(ord).select(F.coalesce(F.when(F.col("title") != "", F.col("title")), "source_name").alias("name"), "language", "source_type", "license", "retrieval_date", "status", "source_url").toPandas()
-    top = ["# Corpus Sources and Licensing", "", "Every source used to build the training corpus is recorded here and in", "`sources.jsonl`. Text is used only from public-domain or permissively", "licensed human-written sources.", "", "| Source | Language | Type | License | Retrieved | Status |", "|---|---|---|---|---|---|"]
-    each = [f"| {r.name_} | {r.language} | {r.source_type} | {r.license} | {r.retrieval_date} | {r.status} |" for r in rows.rename(columns={"name": "name_"}).itertuples()]
-    urls = [f"- {r.name_}: {r.source_url}" for r in rows.rename(columns={"name": "name_"}).itertuples()]
-    return "\n".join([*top, *each, "", "## URLs", "", *urls, ""])
+    shown = F.coalesce(F.when(F.col("title") != "", F.col("title")), "source_name")
+    cells = [shown, *map(F.col, ("language", "source_type", "license", "retrieval_date", "status"))]
+    rows = records.orderBy(ord).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("cells"), F.concat_ws(": ", F.concat(F.lit("- "), shown), "source_url").alias("link")).collect()
+    return "\n".join([PAGE_HEAD, *(r.cells for r in rows), "", "## URLs", "", *(r.link for r in rows), ""])
+
+
+#: Fixed value: how the page begins.
+PAGE_HEAD = """# Corpus Sources and Licensing
+
+Every source used to build the training corpus is recorded here and in
+`sources.jsonl`. Text is used only from public-domain or permissively
+licensed human-written sources.
+
+| Source | Language | Type | License | Retrieved | Status |
+|---|---|---|---|---|---|"""
 
 
 def first_records(records: DataFrame, ord: str) -> DataFrame:
