@@ -63,7 +63,7 @@ def lines(x: Column) -> Column:
 
 
 def full_lines(x: Column) -> Column:
-    return F.filter(lines(x), lambda ln: F.length(F.regexp_replace(ln, BLANK_ENDS, "")) > 0)
+    return F.filter(lines(x), lambda ln: ln.rlike("(?U)\\S"))
 
 
 def normalized(x: Column | str) -> Column:
@@ -86,7 +86,7 @@ def without_underscores(x: Column | str) -> Column:
 
 def without_blank_lines(x: Column | str) -> Column:
     """Lines that aren't blank, an empty line between them."""
-    return F.array_join(F.filter(F.split(col(x), "\n"), lambda ln: F.regexp_replace(ln, BLANK_ENDS, "") != ""), "\n\n")
+    return F.array_join(F.filter(F.split(col(x), "\n"), lambda ln: ln.rlike("(?U)\\S")), "\n\n")
 
 
 #: N5 in order: pattern, replacement. Fixed values.
@@ -134,16 +134,19 @@ def repeated_char_ratio(x: Column | str) -> Column:
     return F.least(F.lit(1.0), F.aggregate(runs, F.lit(0), lambda a, r: a + F.length(r)) / F.greatest(F.length(x), F.lit(1)))
 
 
+def let(value: Column, of) -> Column:
+    """``of(value)``, with the value computed once however often ``of`` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def duplicate_line_ratio(x: Column | str) -> Column:
     """Share of full lines that came before; compared as they are."""
-    full = full_lines(col(x))
-    return F.when(F.size(full) == 0, F.lit(0.0)).otherwise((F.size(full) - F.size(F.array_distinct(full))) / F.size(full))
+    return let(full_lines(col(x)), lambda full: F.when(F.size(full) == 0, F.lit(0.0)).otherwise((F.size(full) - F.size(F.array_distinct(full))) / F.size(full)))
 
 
 def prose_line_ratio(x: Column | str) -> Column:
     """Share of full lines of 20 characters or more."""
-    full = full_lines(col(x))
-    return F.when(F.size(full) == 0, F.lit(0.0)).otherwise(F.size(F.filter(full, lambda ln: F.length(ln) >= 20)) / F.size(full))
+    return let(full_lines(col(x)), lambda full: F.when(F.size(full) == 0, F.lit(0.0)).otherwise(F.size(F.filter(full, lambda ln: F.length(ln) >= 20)) / F.size(full)))
 
 
 def is_boilerplate(x: Column | str) -> Column:

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markup import gram_hash
@@ -28,32 +28,28 @@ def exact_dedup(docs: DataFrame, ord: str, text: str = "text") -> DataFrame:
     return exact_duplicates(docs, ord, text).where(~F.col("exact_dup")).drop("exact_dup")
 
 
-def shingles(text: Column) -> Column:
-    """D3: runs of five words of [a-z0-9], of the words whose lengths, with a space each, sum to 250,000 at most.
+def with_signature(docs: DataFrame, text: str, algorithm: str, out: str) -> DataFrame:
+    """Adds the twelve smallest hashes of a text's shingles, repeated ones included.
 
-    A word is kept while the sum before it and itself fit; that is where its end in the joined words lies.
+    Shingles are runs of five words of [a-z0-9], of the words whose lengths, with a space each, sum to
+    250,000 at most: a word is kept while its end in the joined words lies within. A lookahead finds
+    overlapping runs in one pass. What is used twice is a column of its own, so it is computed once.
     """
-    words = F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), " ")
-    whole = F.concat(words, F.lit(" "))
-    kept = F.when(F.length(whole) <= MAX_CHARS, whole).otherwise(F.regexp_replace(F.substring(whole, 1, MAX_CHARS), "[^ ]*$", ""))
-    # A shingle begins where a word does: a lookahead finds overlapping ones in one pass.
-    return F.regexp_extract_all(kept, F.lit("(?:^|(?<= ))(?=((?:[^ ]+ ){5}))"), 1)
-
-
-def signature(text: Column, algorithm: str) -> Column:
-    """The twelve smallest hashes, repeated ones included."""
-    grams = F.transform(shingles(text), lambda g: F.substring(g, F.lit(1), F.length(g) - 1))
-    return F.slice(F.array_sort(gram_hash(grams, algorithm)), 1, SIGNATURE)
+    docs = docs.withColumn("__w", F.concat(F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), " "), F.lit(" ")))
+    docs = docs.withColumn("__w", F.when(F.length("__w") <= MAX_CHARS, F.col("__w")).otherwise(F.regexp_replace(F.substring("__w", 1, MAX_CHARS), "[^ ]*$", "")))
+    grams = F.regexp_extract_all("__w", F.lit("(?<![^ ])(?=((?:[^ ]+ ){4}[^ ]+) )"), 1)
+    return docs.withColumn(out, F.slice(F.array_sort(gram_hash(grams, algorithm)), 1, SIGNATURE)).drop("__w")
 
 
 def near_duplicates(docs: DataFrame, ord: str, text: str = "text", algorithm: str = "blake2b") -> DataFrame:
     """Adds near_dup, true where eight entries or more of the signature stand in signatures before.
 
     A signature counts as seen whether or not its document is kept; so "seen before" is "the first
-    document with that hash comes before", an aggregation and a join.
+    document with that hash comes before", an aggregation and a join. Both use one shuffle of the
+    entries by hash, so signatures are computed once.
     """
-    signed = docs.select(F.col(ord).alias("__ord"), signature(F.col(text), algorithm).alias("s"))
-    entries = signed.select("__ord", F.explode("s").alias("h"))
+    signed = with_signature(docs.select(F.col(ord).alias("__ord"), F.col(text).alias("__t")), "__t", algorithm, "s")
+    entries = signed.select("__ord", F.explode("s").alias("h")).repartition("h")
     firsts = entries.groupBy("h").agg(F.min("__ord").alias("first"))
     shared = entries.join(firsts, "h").where(F.col("first") < F.col("__ord")).groupBy("__ord").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
     flagged = shared.select(F.col("__ord").alias(ord), F.lit(True).alias("__near"))
