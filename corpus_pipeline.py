@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tekstra.llm import bpe, mixing, near_dedup, pii, quality_rules
-from tekstra.llm.common import shared, table
+from tekstra.llm.common import shared
+from tekstra.sources.spread import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
