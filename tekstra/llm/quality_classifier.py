@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, stored, utf8
 
 #: Shrinkage: towards the pooled covariance, and of the result towards its diagonal.
-POOL, DIAGONAL = 0.15, 0.1
+POOL, DIAGONAL = 0.3, 0.1
+#: Length counts up to about 90 words (as a logarithm): a short text is no outlier then. Chosen on training rows alone.
+ENOUGH = 4.5
 THRESHOLD = 0.7
 
 NAMES = ("words", "word_length", "longest_word", "marks", "pipes", "stops", "commas", "digits", "capitals", "quotes", "distinct", "top_word", "repeated_lines", "line_length", "entropy", "repeats", "odd_bytes")
@@ -45,7 +47,7 @@ def statistics(raw: bytes) -> list[float]:
     pairs = list(zip(words, words[1:], strict=False))
     n1 = max(1, n)
     got = {
-        "words": np.log1p(n),
+        "words": min(float(np.log1p(n)), ENOUGH),
         "word_length": np.log1p(sum(map(len, words)) / n1),
         "longest_word": np.log1p(max(map(len, words), default=0)),
         "distinct": (len(seen) + 1) / (n + 1) * np.log(n + 2),
