@@ -26,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8
+from .common import claim, map_batches, utf8
 
 #: Entries at which the encoder's caches start anew; of pieces, the last generation stays.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 200_000, 300_000, 500_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 120_000, 200_000, 300_000
 #: White space as the pattern means it (the Unicode property), to be put into a class.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -241,6 +241,7 @@ def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", te
     """
 
     def make():
+        claim("bpe", encoder.cache_clear)
         encode = encoder(vocabulary)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:

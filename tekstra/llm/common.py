@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,10 +16,6 @@ BATCH_BYTES = 8 << 20
 _STORED: list[str] = []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Rows that cross to Python at once: texts may be long, so few."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -50,6 +47,17 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Called in a Python worker by an operator that keeps caches: workers are used again by later stages, so those of other operators are dropped."""
+    for other in [x for x in _CACHES if x != name]:
+        _CACHES.pop(other)()
+        gc.collect()
+    _CACHES[name] = clear
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share; set here only where the session has none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

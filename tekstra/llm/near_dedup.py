@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, stored, utf8
+from .common import claim, map_batches, small_batches, stored, utf8
 
 BANDS, ROWS, MANTISSA = 32, 4, 10
 WORDS, SIMILARITY = 2, 80
@@ -35,7 +35,7 @@ MARGIN = 0.2
 BLOCK = 1024
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 #: Bits of a set's bitmap.
 BITS = 4096
 
@@ -113,6 +113,8 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 def with_bitmap(rows: DataFrame) -> DataFrame:
     def make():
+        claim("near", word_hashes.cache_clear)
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             bits = pa.array([bitmap(shingles(x)) for x in batch.column(3).to_pylist()], pa.binary())
             return pa.RecordBatch.from_arrays([*batch.columns, bits], names=[*batch.schema.names, "bits"])
@@ -126,6 +128,8 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """id (LAST for null), text_hash, n_shingles, node (the set's 128-bit hash; null for an empty set), bands."""
 
     def make():
+        claim("near", word_hashes.cache_clear)
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, node, bands = [], [], []
             for raw in batch.column(2).to_pylist():
@@ -152,6 +156,8 @@ def verified(pairs: DataFrame, near: DataFrame) -> DataFrame:
     rows = pairs.join(sides["b"], "b").join(sides["a"], "a").select("a", "b", "n_a", "n_b", "bands_a", "bands_b", "raw_a", "raw_b")
 
     def make():
+        claim("near", word_hashes.cache_clear)
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             last, sa, keep = None, None, []
             for a, n, m, x, y, ra, rb in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7)), strict=True):

@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import map_batches, slices, small_batches, utf8
+from .common import claim, map_batches, slices, small_batches, utf8
 
 MIN_WORDS, MAX_REPEATED_SHARE = 50, 0.5
 #: Words whose tokens a worker keeps in each of two generations.
-MAX_WORDS = 250_000
+MAX_WORDS = 150_000
 
 #: Bands: least and most characters per token (multilingual byte BPE), the same (piece BPE), least ratio of the two, most
 #: byte fallback, least and most bits of token entropy. By language, else by script, else "any".
@@ -166,6 +166,8 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
 
     def make():
+        claim("quality", fertility.cache_clear)
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [measure(raw, lang) for raw, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column(0), *columns(found)], names=["key"] + [x.split()[0] for x in COLUMNS.split(", ")])
@@ -182,6 +184,7 @@ def passes(text: Column | str, lang: Column | str) -> Column:
 
     @F.arrow_udf("boolean")
     def verdict(raw: pa.Array, lang: pa.Array) -> pa.Array:
+        claim("quality", fertility.cache_clear)
         batch = pa.RecordBatch.from_arrays([raw, lang], names=["raw", "lang"])
         return pa.array([measure(r, k)[6] for part in slices(batch) for r, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], pa.bool_())
 
