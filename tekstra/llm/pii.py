@@ -2,11 +2,9 @@
 
 The tagger is trained here, in numpy, from labelled spans: sentences made by a seeded generator, with
 personal data and look-alikes of many forms put in and labelled. Its tags are begin and inside of each
-kind, and outside. The CRF's structure has one hard rule: a span holds a digit or an "@". So text
-farther than REACH from any of those is outside by rule, and only the stretches around them need the
-network; a text full of digits is one long stretch. A stretch is cut into overlapping windows, the
-network runs over all windows of a batch at once, each character takes its scores from the window in
-which it lies most centrally, and one Viterbi pass over the whole stretch reconciles the windows.
+kind, and outside. Each whole text is cut into overlapping windows, the network runs over many windows
+at once, each character takes its scores from the window in which it lies most centrally, and one
+Viterbi pass over the whole text reconciles the windows.
 
 The patterns' spans stand. The tagger adds spans that overlap none of them, whose characters it is
 sure of, and that pass a plain check of their kind.
@@ -27,8 +25,10 @@ from .common import map_batches, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
-#: Characters around a digit or "@" that belong to its stretch; window length; how far windows shift.
-REACH, WINDOW, SHIFT = 40, 128, 64
+#: Window length; how far windows shift.
+WINDOW, SHIFT = 128, 64
+#: Characters that are decoded as one block, and that a block's run-up takes; neither changes results.
+BLOCK, RUN_UP = 256, 64
 #: Least mean probability of a span's characters.
 SURE = 0.9
 
@@ -38,7 +38,6 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
 
 
 def luhn(digits: str) -> bool:
@@ -102,8 +101,10 @@ _ASCII = np.array([class_of(c) for c in range(128)], np.int64)
 def classes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     out = _ASCII[np.minimum(codes, 127)]
-    for i in np.flatnonzero(codes > 127):
-        out[i] = class_of(int(codes[i]))
+    high = codes > 127
+    if high.any():
+        kinds, which = np.unique(codes[high], return_inverse=True)
+        out[high] = np.array([class_of(int(c)) for c in kinds], np.int64)[which]
     return out
 
 
@@ -220,20 +221,6 @@ def lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
 
-def marginals(s: np.ndarray, move: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """Probability of each of the tags under the CRF: the forward pass is kept, the backward pass goes along."""
-    n, length, _ = s.shape
-    alpha, each = np.empty_like(s), np.arange(n)
-    alpha[:, 0] = s[:, 0] + START
-    for t in range(1, length):
-        alpha[:, t] = lse(alpha[:, t - 1, :, None] + move, 1) + s[:, t]
-    total, beta, out = lse(alpha[:, -1], 1), np.zeros_like(s[:, 0]), np.empty((n, length), np.float32)
-    for t in range(length - 1, -1, -1):
-        out[:, t] = np.exp(np.minimum(0, alpha[each, t, tags[:, t]] + beta[each, tags[:, t]] - total))
-        beta = lse(move + (s[:, t] + beta)[:, None, :], 2)
-    return out
-
-
 class Tagger:
     """Weights and passes of the network. Both directions run together, stacked on the first axis."""
 
@@ -339,78 +326,171 @@ class Tagger:
                 self.w[k] -= (speed * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return loss
 
+    def scores(self, x: np.ndarray, at_once: int = 128) -> np.ndarray:
+        """What forward says, for use without training: windows lie along the last axis, and one product a step gives all gates."""
+        w, hid, (n, length) = self.w, self.hidden, x.shape
+        # sigmoid(z) = (1 + tanh(z / 2)) / 2, so one tanh serves all four gates.
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), hid)[:, None]
+        gates = np.concatenate([w["wh"], w["wx"], w["b"]], axis=1).transpose(0, 2, 1) * half
+        embed, out = np.ascontiguousarray(w["embed"].T), w["out"].T
+        found = np.empty((n, length, TAGS), np.float32)
+        for at in range(0, n, at_once):
+            codes = np.ascontiguousarray(x[at : at + at_once].T)
+            size = codes.shape[1]
+            e = np.ascontiguousarray(embed[:, codes].transpose(1, 0, 2))
+            u, c, tc = np.zeros((2, hid + len(embed) + 1, size), np.float32), np.zeros((2, hid, size), np.float32), np.empty((2, hid, size), np.float32)
+            u[:, -1] = 1
+            z, hs, h = np.empty((2, 4 * hid, size), np.float32), np.empty((2, length, hid, size), np.float32), u[:, :hid]
+            i, f, o, g = (z[:, k * hid : (k + 1) * hid] for k in range(4))
+            for t in range(length):
+                u[0, hid:-1], u[1, hid:-1] = e[t], e[length - 1 - t]
+                np.matmul(gates, u, out=z)
+                np.tanh(z, out=z)
+                z[:, : 3 * hid] *= 0.5
+                z[:, : 3 * hid] += 0.5
+                c *= f
+                i *= g
+                c += i
+                np.multiply(o, np.tanh(c, out=tc), out=h)
+                hs[0, t], hs[1, length - 1 - t] = h[0], h[1]
+            found[at : at + at_once] = (out[:, :hid] @ hs[0] + out[:, hid:] @ hs[1] + w["bias"][:, None]).transpose(2, 0, 1)
+        return found
+
     def decode(self, scores: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The best tags of each stretch, by Viterbi over all of it, and their marginal probabilities; stretches of like length go together."""
-        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(scores)
-        order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
-        move = (self.w["move"] + ALLOWED).astype(np.float32)
-        at = 0
-        while at < len(order):
-            group = [order[at]]
-            while at + len(group) < len(order) and len(scores[order[at + len(group)]]) <= 1.3 * len(scores[group[0]]) + 8 and len(group) < 512:
-                group.append(order[at + len(group)])
-            at += len(group)
-            length = len(scores[group[-1]])
-            s = np.zeros((len(group), length, TAGS), np.float32)
-            s[:, :, 1:] = -1e4  # after its end a stretch is outside
-            for g, i in enumerate(group):
-                s[g, : len(scores[i])] = scores[i]
-            best, back = s[:, 0] + START, np.empty((len(group), length, TAGS), np.int8)
-            for t in range(1, length):
-                total = best[:, :, None] + move
-                back[:, t] = total.argmax(1)
-                best = total.max(1) + s[:, t]
-            tags = np.empty((len(group), length), np.int64)
-            tags[:, -1] = best.argmax(1)
-            each = np.arange(len(group))
-            for t in range(length - 1, 0, -1):
-                tags[:, t - 1] = back[each, t, tags[:, t]]
-            sure = marginals(s, move, tags)
-            for g, i in enumerate(group):
-                out[i] = tags[g, : len(scores[i])], sure[g, : len(scores[i])]
-        return out
-
-
-def stretches(text: str) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.start() + REACH + 1)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+        """The best tags of each text, by Viterbi over all of it, and their marginal probabilities (1 where a text is all outside: no span asks)."""
+        tags = self.best_tags(scores)
+        some = [i for i, t in enumerate(tags) if t.any()]
+        sure = dict(zip(some, self.marginals([scores[i] for i in some], [tags[i] for i in some]), strict=True)) if some else {}
+        return [(t, sure.get(i, np.ones(len(t), np.float32))) for i, t in enumerate(tags)]
+
+    def strung(self, scores: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (BLOCK, TAGS, blocks) of the texts one after another, a forced outside between them and all around; and where each starts.
+
+        Blocks go together. A block starts from what a run-up over its neighbour's end says; where that
+        isn't what the neighbour itself comes to, it goes again from there, until all agree (``agreed``).
+        """
+        lengths = [len(s) for s in scores]
+        n = (sum(lengths) + len(scores)) // BLOCK + 1
+        flat = np.full(((n + 2) * BLOCK, TAGS), -1e4, np.float32)
+        flat[:, 0] = 0
+        starts, move = BLOCK + np.cumsum([0, *(k + 1 for k in lengths)])[:-1], self.w["move"]
+        for a, s in zip(starts, scores, strict=True):
+            if len(s):
+                flat[a : a + len(s)] = s
+                # Neither the move from the outside before a text nor the one to that after it counts.
+                flat[a] -= np.where(START < 0, 0, move[0])
+                flat[a + len(s) - 1] -= move[:, 0]
+        return np.ascontiguousarray(flat.reshape(n + 2, BLOCK, TAGS).transpose(1, 2, 0)), starts
+
+    def best_tags(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        x, starts = self.strung(scores)
+        move, n = (self.w["move"] + ALLOWED).astype(np.float32), x.shape[2] - 2
+        to_any, begun, within = move[:, [0, *range(1, TAGS, 2)], None], np.diag(move[1::2, 2::2])[:, None], np.diag(move[2::2, 2::2])[:, None]
+        own, paths, tags = np.arange(1, n + 1), x.copy(), np.zeros((BLOCK, n + 2), np.int64)
+
+        def best(v, steps, cols, keep):
+            for t in steps:
+                free, out = v[0] + to_any[0], x[t][:, cols]
+                for k in range(1, TAGS):
+                    np.maximum(free, v[k] + to_any[k], out=free)
+                out[0] += free[0]
+                out[1::2] += free[1:]
+                out[2::2] += np.maximum(v[1::2] + begun, v[2::2] + within)
+                v = out
+                v -= v[0].copy()
+                if keep:
+                    paths[t][:, cols] = v
+            return v
+
+        def back(v, steps, cols, keep):
+            tag = v[0]
+            for t in steps:
+                tag = (paths[t][:, cols] + move[:, tag]).argmax(0)
+                if keep:
+                    tags[t, cols] = tag
+            return tag[None]
+
+        agreed(lambda v, c: best(v, range(BLOCK), c, True), best(np.zeros((TAGS, n), np.float32), range(BLOCK - RUN_UP, BLOCK), own - 1, False), own, 1e-2)
+        agreed(lambda v, c: back(v, range(BLOCK - 1, -1, -1), c, True), back(np.zeros((1, n), np.int64), range(RUN_UP - 1, -1, -1), own + 1, False), own, 0, -1)
+        tags = tags.T.reshape(-1)
+        return [tags[a : a + len(s)] for a, s in zip(starts, scores, strict=True)]
+
+    def marginals(self, scores: list[np.ndarray], tags: list[np.ndarray]) -> list[np.ndarray]:
+        """Probability of each of the tags under the CRF."""
+        x, starts = self.strung(scores)
+        n, shift = x.shape[2] - 2, np.exp((self.w["move"] + ALLOWED).astype(np.float64))
+        chance = np.exp(x - x.max(1, keepdims=True), dtype=np.float64)
+        own, ahead, share = np.arange(1, n + 1), np.empty_like(chance), np.empty_like(chance)
+
+        def forward(v, steps, cols, keep):
+            for t in steps:
+                v = (shift.T @ v) * chance[t][:, cols]
+                v /= v.sum(0)
+                if keep:
+                    ahead[t][:, cols] = v
+            return v
+
+        def backward(v, steps, cols, keep):
+            """v: how likely what follows is, by the tag of the step."""
+            for t in steps:
+                if keep:
+                    both = ahead[t][:, cols] * v
+                    share[t][:, cols] = both / both.sum(0)
+                v = shift @ (v * chance[t][:, cols])
+                v /= v.sum(0)
+            return v
+
+        even = np.full((TAGS, n), 1 / TAGS)
+        agreed(lambda v, c: forward(v, range(BLOCK), c, True), forward(even, range(BLOCK - RUN_UP, BLOCK), own - 1, False), own, 1e-6)
+        agreed(lambda v, c: backward(v, range(BLOCK - 1, -1, -1), c, True), backward(even, range(RUN_UP - 1, -1, -1), own + 1, False), own, 1e-6, -1)
+        flat = share.transpose(2, 0, 1).reshape(-1, TAGS)
+        return [flat[a + np.arange(len(t)), t] for a, t in zip(starts, tags, strict=True)]
+
+
+def agreed(run, state: np.ndarray, own: np.ndarray, tolerance: float, way: int = 1) -> None:
+    """Runs all blocks, each from its column of ``state``, then again those whose neighbour (before; way -1: after) ends elsewhere."""
+    ends = run(state, own)
+    while True:
+        wanted = state.copy()
+        if way == 1:
+            wanted[:, 1:] = ends[:, :-1]
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def tagged(tagger: Tagger, texts: list[str], windows_at_once: int = 1024) -> list[list[tuple[str, int, int]]]:
-    """The tagger's spans of each text."""
-    where = [(i, a, b) for i, text in enumerate(texts) for a, b in stretches(text)]
+            wanted[:, :-1] = ends[:, 1:]
+        floor = -1e3 if state.dtype == np.float32 else None
+        off = np.abs(np.clip(wanted, floor, None) - np.clip(state, floor, None)) if floor else np.abs(wanted - state)
+        bad = np.flatnonzero(off.max(0) > tolerance)
+        if not len(bad):
+            return
+        state[:, bad] = wanted[:, bad]
+        ends[:, bad] = run(state[:, bad], own[bad])
+
+
+def tagged(tagger: Tagger, texts: list[str], windows_at_once: int = 4096) -> list[list[tuple[str, int, int]]]:
+    """The tagger's spans of each whole text."""
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    # A group of stretches of about as many windows as go at once; a longer stretch alone.
+    # A group of texts of about as many windows as go at once; a longer text alone.
     at = 0
-    while at < len(where):
+    while at < len(texts):
         group, n = [], 0
-        while at < len(where) and (not group or n < windows_at_once):
-            group.append(where[at])
-            n += 1 + (where[at][2] - where[at][1]) // SHIFT
+        while at < len(texts) and (not group or n < windows_at_once):
+            group.append(at)
+            n += 1 + len(texts[at]) // SHIFT
             at += 1
-        cuts = [(g, s, min(s + WINDOW, b)) for g, (_, a, b) in enumerate(group) for s in range(a, max(a + 1, b - (WINDOW - SHIFT)), SHIFT)]
-        scores = [np.zeros((b - a, TAGS), np.float32) for _, a, b in group]
-        codes = [classes(texts[i][a:b]) for i, a, b in group]
+        codes = [classes(texts[i]) for i in group]
+        cuts = [(g, s, min(s + WINDOW, len(x))) for g, x in enumerate(codes) if len(x) for s in range(0, max(1, len(x) - (WINDOW - SHIFT)), SHIFT)]
+        scores = [np.zeros((len(x), TAGS), np.float32) for x in codes]
         for part in range(0, len(cuts), windows_at_once):
             some = cuts[part : part + windows_at_once]
             x = np.zeros((len(some), WINDOW), np.int64)
             for row, (g, s, e) in enumerate(some):
-                a = group[g][1]
-                x[row, : e - s] = codes[g][s - a : e - a]
-            for (g, s, e), y in zip(some, tagger.forward(x)[0], strict=True):
+                x[row, : e - s] = codes[g][s:e]
+            for (g, s, e), y in zip(some, tagger.scores(x), strict=True):
                 # A character of two windows takes the one whose border is farther.
-                a, b = group[g][1], group[g][2]
-                lo = s if s == a else s + (WINDOW - SHIFT) // 2
-                hi = e if e == b else e - (WINDOW - SHIFT) // 2
-                scores[g][lo - a : hi - a] = y[lo - s : hi - s]
-        for (i, a, _), (tags, sure) in zip(group, tagger.decode(scores), strict=True):
-            found[i] += [(k, a + s, a + e) for k, s, e in spans_of(tags, sure)]
+                lo = s if s == 0 else s + (WINDOW - SHIFT) // 2
+                hi = e if e == len(codes[g]) else e - (WINDOW - SHIFT) // 2
+                scores[g][lo:hi] = y[lo - s : hi - s]
+        for i, (tags, sure) in zip(group, tagger.decode(scores), strict=True):
+            found[i] = spans_of(tags, sure)
     return found
 
 

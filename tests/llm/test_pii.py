@@ -99,3 +99,49 @@ def test_query_and_redaction(odd_docs, no_docs, spark):
 def test_training_is_repeatable():
     a, b = pii.Tagger(), pii.Tagger()
     assert a.train(steps=3) == b.train(steps=3)
+
+
+def test_forms_without_digit_or_at_sign_are_found_in_any_context(tagger, spark):
+    for form in ("jane.doe(at)example.com", "jane.doe[at]example.com"):
+        for after in (" and the lazy dog" * 6, " 7" + " and the lazy dog" * 6):
+            text = "the quick brown fox " * 6 + form + after
+            assert pii.base_spans(text) == [] and pii.scanned(tagger, [text])[0][1] == [("email", 120, 143)]
+            docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+            assert pii.op3(docs).first().spans == "email:120:143" and form not in pii.redacted(docs).first().text
+
+
+def test_every_character_is_in_a_window(tagger, monkeypatch):
+    seen = []
+    real = pii.Tagger.scores
+    monkeypatch.setattr(pii.Tagger, "scores", lambda self, x: seen.append(int((x > 0).sum())) or real(self, x))
+    monkeypatch.setattr(pii.Tagger, "decode", lambda self, scores: [(np.ones(len(s), np.int64), np.zeros(len(s))) for s in scores if seen.append(len(s)) is None])
+    pii.tagged(tagger, ["only words here " * 40])
+    assert seen == [1152, 640]
+
+
+def test_blocks_equal_one_pass_over_each_text(tagger, monkeypatch):
+    x = np.concatenate([pii.labelled(6, 77)[0].reshape(-1), pii.classes("plain words only " * 30)])
+    whole = tagger.scores(np.resize(x, (10, 128))).reshape(-1, pii.TAGS)
+    assert np.abs(tagger.scores(x[None, :128]) - tagger.forward(x[None, :128])[0]).max() < 1e-4
+    texts = [whole[:700], whole[700:701], whole[:0], whole[300:1100]]
+    move = (tagger.w["move"] + pii.ALLOWED).astype(np.float64)
+    for run_up in (64, 1):  # one character's run-up is wrong often, and must not show
+        monkeypatch.setattr(pii, "RUN_UP", run_up)
+        monkeypatch.setattr(pii, "BLOCK", 32 if run_up == 1 else 256)
+        for s, (tags, sure) in zip(texts, tagger.decode(texts), strict=True):
+            if not len(s):
+                assert len(tags) == 0
+                continue
+            best, back, alpha, beta = [s[0] + pii.START], [], [s[0] + pii.START], [np.zeros(pii.TAGS)]
+            for t in range(1, len(s)):
+                back.append((best[-1][:, None] + move).argmax(0))
+                best.append((best[-1][:, None] + move).max(0) + s[t])
+                alpha.append(pii.lse(alpha[-1][:, None] + move, 0) + s[t])
+            for t in range(len(s) - 1, 0, -1):
+                beta.append(pii.lse(move + s[t] + beta[-1], 1))
+            want = [int(best[-1].argmax())]
+            for b in reversed(back):
+                want.append(int(b[want[-1]]))
+            assert tags.tolist() == want[::-1]
+            share = np.exp(np.array(alpha) + np.array(beta[::-1]) - pii.lse(alpha[-1], 0))[np.arange(len(s)), tags]
+            assert not tags.any() or np.abs(share - sure).max() < 1e-4
