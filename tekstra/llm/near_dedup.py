@@ -249,7 +249,9 @@ def compare(group: pa.Table) -> pa.Table:
 
 
 def memberships(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, text_hash, n_shingles, component: one row for each row. The component is the smallest id reachable over links.
+    """id, text_hash, n_shingles, component, alone, comp: one row for each row. The component is the smallest id reachable over links.
+
+    Several components may have one smallest id, by null or repeated ids; comp is a component's own key (null where alone).
 
     Null or empty text: no shingles, linked with nothing, a component of its own. A null id counts as
     larger than any (LAST). Repeated rows share a node and so a component. Rows of one id but different
@@ -276,14 +278,14 @@ def memberships(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(joined))
     firsts = nodes.select("node", "row.id")
     least = firsts.join(comps, "node").groupBy("comp").agg(F.min("id").alias("component"))
-    labelled = firsts.join(comps.join(least, "comp").select("node", "component"), "node", "left").select("node", F.coalesce("component", "id").alias("component"))
-    return rows.join(labelled, "node", "left").select("id", "text_hash", "n_shingles", F.coalesce("component", "id").alias("component"), F.col("node").isNull().alias("alone"))
+    labelled = firsts.join(comps.join(least, "comp").select("node", "component", "comp"), "node", "left").select("node", F.coalesce("component", "id").alias("component"), F.coalesce("comp", "node").alias("comp"))
+    return rows.join(labelled, "node", "left").select("id", "text_hash", "n_shingles", F.coalesce("component", "id").alias("component"), F.col("node").isNull().alias("alone"), "comp")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of each component the row of least (id, text hash), once; all rows without words stay."""
     found = memberships(docs, key, text)
-    firsts = found.where("not alone").groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("row")).select("row.*").unionByName(found.where("alone").select("id", "text_hash").distinct())
+    firsts = found.where("not alone").groupBy("comp").agg(F.min(F.struct("id", "text_hash")).alias("row")).select("row.*").unionByName(found.where("alone").select("id", "text_hash").distinct())
     a, b = row_key(key, text)
     own = docs.withColumns({"__tekstra_id": a, "__tekstra_hash": b})
     kept = own.join(firsts.select(F.col("id").alias("__tekstra_id"), F.col("text_hash").alias("__tekstra_hash")), ["__tekstra_id", "__tekstra_hash"], "left_semi")

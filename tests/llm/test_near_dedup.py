@@ -80,6 +80,14 @@ def test_one_document_of_each_group_stays(spark, odd_docs):
     assert nd.deduplicated(odd_docs).count() == len(nd.op10(odd_docs).where("n_shingles > 0").select("component_id").distinct().collect()) + 3
 
 
+def test_unrelated_components_of_one_least_id_stay_apart(spark):
+    copies = [" ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(61))]
+    texts = [(None, "one clean text about rivers"), (None, "another text of quite other words"), (7, "first of two that share an id"), (7, "nothing in common with it"), (None, copies[0]), (None, copies[1]), (None, copies[1])]
+    kept = [r.text for r in nd.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    assert sorted(set(kept) - set(copies)) == sorted(t for _, t in texts[:4])
+    assert len(kept) == 5
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(1)
     for n, both in ((30, 24), (400, 350), (3000, 1000)):
