@@ -265,6 +265,22 @@ def d9(spark, sf_dir):
     return dedup.cross_source_report(e)
 
 
+@query(
+    "d9_cross_source_whole",
+    """WITH p AS (SELECT doc_id, source, text, regexp_extract(text, '^[^\\n]*') AS line FROM documents),
+    e AS (SELECT doc_id AS ord, source, lower(line) AS prompt, lower(substr(text, length(line) + 1)) AS target FROM p),
+    f AS (SELECT *, row_number() OVER w > 1 AS dup, first_value(source) OVER w AS fs FROM e WINDOW w AS (PARTITION BY prompt, target ORDER BY ord)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY ord) > 1 AS seen FROM f WHERE NOT dup),
+    r AS (SELECT 'rejected_duplicates' AS kind FROM f WHERE dup UNION ALL SELECT 'dup_pair_' || CASE WHEN fs = source THEN fs ELSE least(fs, source) || '|' || greatest(fs, source) END FROM f WHERE dup UNION ALL SELECT 'kept' FROM k UNION ALL SELECT 'prompt_only_duplicates' FROM k WHERE seen)
+    SELECT kind, count(*) AS n FROM r GROUP BY kind""",
+)
+def d9_whole(spark, sf_dir):
+    """Prompt and target: a document's first line and all the rest."""
+    line = F.regexp_extract("text", "^[^\\n]*", 0)
+    e = documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), "source", "text", line.alias("line"))
+    return dedup.cross_source_report(e.select("ord", "source", F.lower("line").alias("prompt"), F.lower(F.expr("substring(text, length(line) + 1)")).alias("target")))
+
+
 @query("d11_t4_conversation_examples", f"WITH {CONV_SQL} SELECT ex_id, target, reason, len(turns) AS n_turns, md5(array_to_string(list_transform(turns, lambda y: y.speaker || ':' || y.text), chr(10))) AS turns_md5 FROM x")
 def t4(spark, sf_dir):
     rows = chat.conversation_examples(chat.tidy_utterances(table(spark, sf_dir, "conversations")))
