@@ -178,6 +178,8 @@ def forest_examples(messages: DataFrame, max_depth: int = 200) -> DataFrame:
         paths = cut(step.where("t IS NOT NULL").select("message_id", "message_tree_id", "split", F.col("next").alias("up"), F.concat(F.array("t"), "path").alias("path")))
         if paths.isEmpty():
             break
+    else:
+        raise RuntimeError(f"reply chains deeper than {max_depth}")
     roles = F.transform("path", lambda t: F.struct(F.when(t["role"] == "prompter", "user").otherwise("assistant").alias("role"), t["text"].alias("text")))
     out = done.withColumn("turns", roles).where("turns[0].role = 'user'")
     return out.select(F.concat(F.lit("oasst-"), "message_id").alias("id"), F.lit("oasst1").alias("source"), F.lit("en").alias("lang"), F.col("message_tree_id").alias("tree_id"), "turns", F.when(F.col("split") == "validation", "val").otherwise("train").alias("split"))

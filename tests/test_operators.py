@@ -164,6 +164,14 @@ def test_forest(spark):
     assert {r.message_id for r in chat.best_replies(df).collect()} == {"b", "d", "f"}
 
 
+def test_forest_loses_no_deep_chain_silently(spark):
+    m = [(f"m{k}", f"m{k - 1}" if k else None, "t", "assistant" if k % 2 else "prompter", None, str(k), "train") for k in range(6)]
+    df = spark.createDataFrame(m, "message_id string, parent_id string, message_tree_id string, role string, rank int, text string, split string")
+    assert {r.id: len(r.turns) for r in chat.forest_examples(df, 6).collect()} == {"oasst-m1": 2, "oasst-m3": 4, "oasst-m5": 6}
+    with pytest.raises(RuntimeError, match="deeper"):
+        chat.forest_examples(df, 3)
+
+
 def test_builders_and_filters(spark):
     aya = spark.createDataFrame([("a1", "eng", " what  is\nit ", "x")], "id string, language_code string, inputs string, targets string")
     assert [tuple(t) for t in chat.aya_examples(aya).first().turns] == [("user", "what is it"), ("assistant", "x")]
