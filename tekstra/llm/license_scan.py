@@ -87,7 +87,7 @@ def places(joined: bytes, phrase: bytes) -> list[int]:
 
 
 def fuzzy(joined: bytes, rows: tuple[tuple[str, str, int], ...]) -> list[tuple[str, int, int, int, float]]:
-    """label, first word, end word (exclusive), edits, score: the best match of each stretch of candidates."""
+    """label, first word, end word (exclusive), edits, score: in each stretch of candidates the best match, then the best before and after it, and so on."""
     windows: dict[Notice, list[tuple[int, int]]] = {}
     for notice, offset, seed, length in seed_patterns(rows):
         at = joined.find(seed)
@@ -111,13 +111,17 @@ def fuzzy(joined: bytes, rows: tuple[tuple[str, str, int], ...]) -> list[tuple[s
             while b < len(joined) and 0x80 <= joined[b] < 0xC0:
                 b += 1
             text, left = joined[a:b].decode(), a
-            at = 0
-            while m := notice.pattern.search(text, at):
+            # The best match comes first; worse ones may lie on either side of it, where there is room.
+            gaps, least = [(0, len(text))], len(notice.text) - notice.errors
+            while gaps:
+                lo, hi = gaps.pop()
+                if hi - lo < least or not (m := notice.pattern.search(text, lo, hi)):
+                    continue
                 i, j = left + len(text[: m.start()].encode()), left + len(text[: m.end()].encode())
                 edits = sum(m.fuzzy_counts)
                 first = joined.count(b" ", 1, i + 1) if joined[i : i + 1] != b" " else joined.count(b" ", 1, i + 2)
                 found.append((notice.label, first, first + len(joined[i:j].split()), edits, 1 - edits / len(notice.text)))
-                at = max(m.end(), m.start() + 1)
+                gaps += [(lo, m.start()), (m.end(), hi)]
     # Where notices of several labels overlap, those that match best stand.
     found.sort(key=lambda x: (-x[4], x))
     best: list[tuple[str, int, int, int, float]] = []

@@ -65,3 +65,9 @@ def test_best_label_stands_and_score(spark):
     got = l.scan_text("Releasd under teh MIT Licence".encode(), tuple(l.NOTICES))
     assert got[1] == 0 and got[5] == "mit" and 0 < got[6] < 1
     assert l.scan_text(b"no notice here at all", tuple(l.NOTICES))[5:7] == ("", 0.0)
+
+
+def test_worse_matches_before_the_best_are_found():
+    for texts, edits in ((["reservd", "reserved", "reserved"], [1, 0, 0]), (["reservd", "reserved", "resrved"], [1, 0, 1])):
+        raw = " ".join(f"all rights {x}" for x in texts).encode()
+        assert [(x[1], x[2], x[3]) for x in l.scan_text(raw, tuple(l.NOTICES))[7]] == [(3 * k, 3 * k + 3, e) for k, e in enumerate(edits)]
