@@ -22,9 +22,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def utf8(column: Column | str) -> Column:
-    """The text's bytes; null counts as empty."""
-    column = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(column.cast("binary"), F.lit(b""))
+    """The text's bytes; null counts as empty, and each malformed sequence as U+FFFD."""
+    return F.coalesce(F.make_valid_utf8(column).cast("binary"), F.lit(b""))
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

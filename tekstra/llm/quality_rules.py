@@ -160,7 +160,7 @@ def columns(measured: list[tuple]) -> list[pa.Array]:
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """One row for each row: its key, counts, verdicts and fertility measures.
 
-    Null or empty text, or blanks alone: no words, so base_failed and not kept, measures null. Null or
+    Malformed UTF-8 reads as U+FFFD. Null or empty text, or blanks alone: no words, so base_failed and not kept, measures null. Null or
     unknown language: the band of the main script. Repeated rows are measured alike; other columns are
     left out. An empty table gives an empty table.
     """

@@ -145,3 +145,73 @@ def test_blocks_equal_one_pass_over_each_text(tagger, monkeypatch):
             assert tags.tolist() == want[::-1]
             share = np.exp(np.array(alpha) + np.array(beta[::-1]) - pii.lse(alpha[-1], 0))[np.arange(len(s)), tags]
             assert not tags.any() or np.abs(share - sure).max() < 1e-4
+
+
+def test_windows_left_out_change_nothing(tagger):
+    """The network over every window, the CRF held to outside where no span can pass the check: the same spans."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([pii.made_example(rng)[0], " quiet words without any sign " * rng.randint(1, 9), "a@b at c.de 1.2.3.4 "]) for _ in range(rng.randint(1, 6))) for _ in range(120)] + ["", "x", "call 555-123-4567", "jane(at)x.org"]
+    quick = pii.tagged(tagger, texts, where=[pii.possible(t) for t in texts])
+    for text, got in zip(texts, quick, strict=True):
+        codes = pii.classes(text)
+        cuts = range(0, max(1, len(text) - 64), 64) if text else ()
+        scores = np.zeros((len(text), pii.TAGS), np.float32)
+        for s in cuts:
+            x = np.zeros((1, 128), np.int64)
+            x[0, : len(codes[s : s + 128])] = codes[s : s + 128]
+            e = min(s + 128, len(text))
+            lo, hi = (s + 32 if s else 0), (e - 32 if e < len(text) else e)
+            scores[lo:hi] = tagger.scores(x)[0, lo - s : hi - s]
+        shut = np.ones(len(text), bool)
+        for a, b in pii.possible(text):
+            shut[a:b] = False
+        scores[shut, 1:] = -1e4
+        ((tags, sure),) = tagger.decode([scores])
+        assert pii.spans_of(tags, sure) == got, text
+
+
+def test_every_span_that_passes_the_check_lies_in_a_stretch():
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choices(["1", "23", "4.5", ".", "-", " ", "+", "(", ")", "@", "at", "(at)", " at ", "[dot]", "a", "b-c", ".de", "\n"], k=rng.randint(1, 14)))
+        stretches = pii.possible(text)
+        assert all(a < b for a, b in stretches) and all(x[1] < y[0] for x, y in zip(stretches, stretches[1:], strict=False))
+        for a in range(len(text)):
+            for b in range(a + 1, len(text) + 1):
+                if any(pii.plausible(k, text[a:b]) for k in pii.KINDS):
+                    assert any(x <= a and b <= y for x, y in stretches), (text, text[a:b])
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = " ".join("".join(rng.choices("0123456789", k=rng.randint(1, 7))) + rng.choice(["", ".", "-", ") ", " ("]) for _ in range(rng.randint(2, 7)))
+        for m in re.finditer(r"[+(]?[0-9]", text):
+            for b in range(m.end(), len(text) + 1):
+                if any(pii.plausible(k, text[m.start() : b]) for k in pii.KINDS):
+                    assert any(x <= m.start() and b <= y for x, y in pii.possible(text)), (text, text[m.start() : b])
+
+
+def test_labelled_forms_can_pass_the_check_and_stand_in_stretches():
+    rng, n, passed = random.Random(21), 0, 0
+    for _ in range(300):
+        text, spans = pii.made_example(rng)
+        for kind, a, b in spans:
+            n, passed = n + 1, passed + pii.plausible(kind, text[a:b])
+            assert kind != "email" or pii.plausible(kind, text[a:b]), text[a:b]
+    assert passed > 0.97 * n
+
+
+def test_long_digit_texts(tagger):
+    import time
+
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("0123456789", k=rng.randint(3, 9))) for _ in range(100_000))
+    start = time.perf_counter()
+    pii.scanned(tagger, [text])
+    assert time.perf_counter() - start < 30
+    for odd in ("(at)" * 50_000, " at a" * 50_000, "a@" * 50_000, "1 " * 100_000, "+1(" * 50_000, "a.b@c.d" * 30_000):
+        pii.possible(odd)
+
+
+def test_malformed_utf8_reads_as_replacement_characters(spark):
+    docs = spark.sql("select 1L doc_id, cast(X'FF61' as string) text, 2L n_chars union all select 2L, cast(concat(X'FF', cast(' mail a.b@c.de' as binary)) as string), 9L")
+    assert [r.spans for r in pii.op3(docs).orderBy("doc_id").collect()] == ["", "email:7:15"]
+    assert sorted(r.text for r in pii.redacted(docs).collect()) == ["� mail <EMAIL>", "�a"]
