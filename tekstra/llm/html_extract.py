@@ -14,6 +14,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,15 @@ CLOSES_P = frozenset("address article aside blockquote details dialog div dl fie
 #: A start tag that ends an open element of these, up to the scope given.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 
-#: Open elements that an end tag or an implied end looks back over.
-FAR = 400
+#: Start tags that may stand in a head; any other ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|itemprop|hidden|aria-hidden|style|data-main)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?", re.I)
+#: An attribute as browsers read it: a quote opens a string only where the value begins; an unquoted value ends at white space or ">".
+_NAME = r"[^\s/>][^\s/>=]*+"
+_ATTRIBUTE = _NAME + r"(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>)|\Z))?+"
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|" + _ATTRIBUTE + r")*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+_ATTR = re.compile(r"(" + _NAME + r")(?:\s*+=\s*+(?:\"([^\"]*+)|'([^']*+)|([^\s>\"'][^\s>]*+))[\"']?)?+")
+_READ = frozenset("class id role itemprop hidden aria-hidden style".split())
 _SPACE = re.compile(r"[\s\x00]+")
 _WORD = re.compile(r"[a-z]+")
 
@@ -50,56 +55,109 @@ N_TAGS = 17
 class Node:
     __slots__ = ("attrs", "bad", "chars", "children", "good", "label", "links", "parent", "pieces", "stops", "tag", "tags", "words")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
+    def __init__(self, tag: str, parent: Node | None, attrs: str = "", labelled: bool = False):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list[Node] = []
         self.pieces: list[str] = []
         self.links = self.tags = 0
         self.label = None
         self.good = self.bad = 0
-        if attrs:
-            for name, a, b, c in _ATTR.findall(attrs):
-                value = (a or b or c).lower()
-                if name == "data-main":
-                    self.label = int(value)
-                elif name in ("hidden", "aria-hidden"):
-                    self.bad += value != "false"
-                elif name == "style":
-                    self.bad += "display:none" in value.replace(" ", "")
-                else:
-                    found = _WORD.findall(value)
-                    self.good += sum(x in GOOD for x in found)
-                    self.bad += sum(x in BAD for x in found)
-
-
-def parse(page: str) -> Node:
-    """The page's block elements and bare texts; runs in time linear in the page for each level of depth."""
+        seen = set()
+        for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
+            name = name.lower()
+            if labelled and name == "data-main" and a in ("0", "1"):
+                self.label = int(a)
+            if name not in _READ or name in seen:
+                continue
+            seen.add(name)
+            value = (a or b or c).lower()
+            if name in ("hidden", "aria-hidden"):
+                self.bad += value != "false"
+            elif name == "style":
+                self.bad += "display:none" in value.replace(" ", "")
+            else:
+                found = _WORD.findall(value)
+                self.good += sum(x in GOOD for x in found)
+                self.bad += sum(x in BAD for x in found)
+
+
+class Open:
+    """The open elements. Each tag's places in the stack and the places of all that aren't inline are kept, so any end tag finds its element at once."""
+
+    def __init__(self, root: Node):
+        self.root = root
+        self.stack: list[tuple[str, Node]] = []  # tag, block that is open inside
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.links = self.hidden = 0
+
+    def push(self, tag: str, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, node))
+        self.places.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+        self.links += tag == "a"
+        self.hidden += tag in HIDDEN
+
+    def pop_to(self, size: int) -> None:
+        while len(self.stack) > size:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            self.links -= tag == "a"
+            self.hidden -= tag in HIDDEN
+
+    def node(self) -> Node:
+        return self.stack[-1][1] if self.stack else self.root
+
+    def is_open(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def close(self, tag: str) -> None:
+        """An end tag: an inline one ends nothing across a block."""
+        if self.is_open(tag):
+            at = self.places[tag][-1]
+            if tag not in INLINE or not self.blocks or at > self.blocks[-1]:
+                self.pop_to(at)
+
+    def imply(self, tag: str) -> None:
+        """What a start tag ends: the paragraph that is open, and its like among list items, rows and cells."""
+        if self.is_open("head") and tag not in IN_HEAD:
+            self.pop_to(self.places["head"][0])
+        if tag in CLOSES_P and self.blocks and self.stack[self.blocks[-1]][0] == "p":
+            self.pop_to(self.blocks[-1])
+        if tag in ENDS:
+            ended, scope = ENDS[tag]
+            k = len(self.blocks) - 1
+            while k >= 0:
+                at = self.blocks[k]
+                name = self.stack[at][0]
+                if name in ended:
+                    self.pop_to(at)
+                elif name in scope or name != "p":
+                    break
+                k -= 1
+
+
+def parse(page: str, labelled: bool = True) -> Node:
+    """The page's block elements and bare texts, in time linear in the page. labelled: data-main is read, for training pages only."""
     root = Node("#root", None)
-    at_node, link, hidden, pos = root, 0, 0, 0
-    stack: list[tuple[str, Node]] = []  # open elements: tag, block that is open inside
+    opened, at_node, pos = Open(root), root, 0
 
     def text(piece: str) -> None:
-        if piece and not hidden:
+        nonlocal at_node
+        if opened.is_open("head") and opened.stack[-1][0] == "head" and not piece.isspace():
+            opened.pop_to(opened.places["head"][0])
+            at_node = opened.node()
+        if piece and not opened.hidden:
+            if "&" in piece:
+                piece = html.unescape(piece)
             at_node.pieces.append(piece)
-            if link:
+            if opened.links:
                 at_node.links += len(piece)
 
-    def pop_to(depth: int) -> None:
-        nonlocal at_node, link, hidden
-        while len(stack) > depth:
-            tag, _ = stack.pop()
-            link -= tag == "a"
-            hidden -= tag in HIDDEN
-        at_node = stack[-1][1] if stack else root
-
-    def close(tag: str) -> None:
-        for depth in range(len(stack) - 1, max(-1, len(stack) - FAR), -1):
-            if stack[depth][0] == tag:
-                pop_to(depth)
-                return
-            if tag in INLINE and stack[depth][0] not in INLINE:
-                return  # an inline end tag ends nothing across a block
-
     find, size = _TOKEN.search, len(page)
     while pos < size:
         m = find(page, pos)
@@ -113,37 +171,19 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and all(t != "p" for t, _ in stack[-40:]):
-                continue
-            close(tag)
+            opened.close(tag)
+            at_node = opened.node()
             continue
-        if tag in CLOSES_P:
-            # A block ends the paragraph that is open, with its inline elements.
-            for depth in range(len(stack) - 1, max(-1, len(stack) - FAR), -1):
-                if stack[depth][0] == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth][0] not in INLINE:
-                    break
-        if tag in ENDS:
-            ended, scope = ENDS[tag]
-            for depth in range(len(stack) - 1, max(-1, len(stack) - FAR), -1):
-                if stack[depth][0] in ended:
-                    pop_to(depth)
-                elif stack[depth][0] in scope:
-                    break
-                elif stack[depth][0] not in INLINE and stack[depth][0] != "p":
-                    break
+        opened.imply(tag)
+        at_node = opened.node()
         if tag == "br":
             text(" ")
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and opened.is_open(tag):
             continue
-        if tag == "body":
-            pop_to(next((i for i, (t, _) in enumerate(stack) if t == "head"), len(stack)))
         if tag in VOID:
             at_node.tags += 1
-            if tag not in INLINE and not hidden:
+            if tag not in INLINE and not opened.hidden:
                 at_node.pieces.append("\x00")  # a rule and the like part texts
             continue
         if tag in RAW:
@@ -156,20 +196,18 @@ def parse(page: str) -> Node:
             continue
         if tag in INLINE or tag in HIDDEN:
             at_node.tags += 1
-            link += tag == "a"
-            hidden += tag in HIDDEN
-            stack.append((tag, at_node))
+            opened.push(tag, at_node)
             continue
-        node = Node(tag, at_node, m[3])
+        node = Node(tag, at_node, m[3], labelled)
         at_node.children.append(node)
         at_node.pieces.append(node)  # keeps the place among the texts
-        stack.append((tag, node))
+        opened.push(tag, node)
         at_node = node
     return root
 
 
 def collapsed(pieces: list[str]) -> str:
-    return _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
+    return _SPACE.sub(" ", "".join(pieces)).strip()
 
 
 def blocks(root: Node) -> tuple[list[Node], list[str | None]]:
@@ -229,6 +267,15 @@ def featured(nodes: list[Node], texts: list[str | None]) -> np.ndarray:
         j = up[i]
         for total in (chars, links, tags, stops, words, leaves, paras, long_leaves):
             total[j] += total[i]
+    at, left, right, same = [0] * n, [-1] * n, [-1] * n, [1] * n
+    for x in nodes:
+        own = [place[id(c)] for c in x.children]
+        kinds = Counter(c.tag for c in x.children)
+        for k, i in enumerate(own):
+            at[i], same[i] = k, kinds[nodes[i].tag]
+        left_of = dict(zip(own[1:], own, strict=False))
+        for i, j in left_of.items():
+            left[i], right[j] = j, i
     rows = np.zeros((n, FEATURES), np.float32)
     total = max(1, chars[0])
     before = 0
@@ -237,11 +284,7 @@ def featured(nodes: list[Node], texts: list[str | None]) -> np.ndarray:
         row[_TAGS.get(x.tag, 0)] = 1
         c = max(1, chars[i])
         p = nodes[up[i]] if up[i] >= 0 else None
-        sib = p.children if p else [x]
-        at = sib.index(x) if len(sib) < 64 else 63
-        left = place[id(sib[at - 1])] if at and at < len(sib) and sib[at] is x else -1
-        right = place[id(sib[at + 1])] if at + 1 < len(sib) and sib[at] is x else -1
-        same = sum(s.tag == x.tag for s in sib[:64])
+        siblings = len(p.children) if p else 1
         row[N_TAGS:] = (
             depth[i],
             np.log1p(chars[i]),
@@ -260,12 +303,12 @@ def featured(nodes: list[Node], texts: list[str | None]) -> np.ndarray:
             x.bad,
             good[i],
             bad[i],
-            at,
-            len(sib),
-            same / max(1, min(64, len(sib))),
+            at[i],
+            siblings,
+            same[i] / siblings,
             chars[i] / max(1, chars[up[i]] if up[i] >= 0 else c),
-            np.log1p(chars[left]) if left >= 0 else -1,
-            np.log1p(chars[right]) if right >= 0 else -1,
+            np.log1p(chars[left[i]]) if left[i] >= 0 else -1,
+            np.log1p(chars[right[i]]) if right[i] >= 0 else -1,
             links[up[i]] / max(1, chars[up[i]]) if up[i] >= 0 else 0,
             _TAGS.get(p.tag, 0) if p else 0,
             np.log1p(total),
@@ -388,9 +431,9 @@ def made_page(rng: random.Random) -> str:
             inner = rng.choice(["<b>{}</b>", "<b>{}<br>", "{} <a href='/l'>" + words(2) + "</a> " + words(3), "<i>{}</i>", "<span>{}</span>"]).format(inner)
         return rng.choices([f'<p data-main="1">{inner}</p>', f'<p data-main="1">{inner}', named(rng.choice(["div", "section"]), 1, None, inner), f'<h2 data-main="1">{words(rng.randint(1, 8))}</h2>', f'<blockquote data-main="1">{inner}</blockquote>', f'<ul data-main="1"><li data-main="1">{words(8)}</li><li data-main="1">{inner}</li></ul>', f'<pre data-main="1">{words(9)}</pre>', f'<table data-main="1"><tr data-main="1"><td data-main="1">{words(3)}</td><td data-main="1">{words(4)}</td></tr></table>'], [70, 14, 5, 5, 2, 4, 1, 1])[0]
 
-    inside = [para() for _ in range(rng.choice([1, 1, 2, 2, 3, 5, 8, 13, 20]))]
+    inside = [para() for _ in range(rng.choice([1, 1, 2, 2, 3, 5, 8, 13, 20]) if rng.random() < 0.97 else rng.randint(30, 250))]
     for extra, chance in ((advert, 0.15), (side, 0.05), (form, 0.06), (notice, 0.06)):
-        if rng.random() < chance:
+        for _ in range(1 + len(inside) // 40 if rng.random() < chance else 0):
             inside.insert(rng.randint(0, len(inside)), extra())
     title = f'<h1 data-main="1">{words(rng.randint(1, 12))}</h1>' if rng.random() < 0.85 else ""
     if title and rng.random() < 0.1:
@@ -407,12 +450,17 @@ def made_page(rng: random.Random) -> str:
     return f'<!DOCTYPE html><html data-main="1"><head><title>{words(3)}</title><style>p{{}}</style><script>var a="</p>";</script></head><body data-main="1">{middle}{footer() if rng.random() < 0.85 else ""}</body></html>'
 
 
+#: Labelled nodes that a generated page gives to training at most, so that long pages don't outweigh short ones.
+ROWS_A_PAGE = 60
+
+
 def training(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng, xs, ys = random.Random(seed), [], []
     for _ in range(pages):
         nodes, texts = blocks(parse(made_page(rng)))
         x = featured(nodes, texts)
         keep = [i for i, node in enumerate(nodes) if node.label is not None]
+        keep = sorted(rng.sample(keep, ROWS_A_PAGE)) if len(keep) > ROWS_A_PAGE else keep
         xs.append(x[keep])
         ys.append(np.array([nodes[i].label for i in keep], np.float64))
     return np.concatenate(xs), np.concatenate(ys)
@@ -445,7 +493,7 @@ def decoded(nodes: list[Node], p: np.ndarray) -> list[bool]:
 
 def extracted(pages: list[str], trees: Trees) -> list[str]:
     """The main text of each page: kept leaf texts in page order, joined by two newlines."""
-    parsed = [blocks(parse(x)) for x in pages]
+    parsed = [blocks(parse(x, labelled=False)) for x in pages]
     p = trees.probability(np.concatenate([featured(*x) for x in parsed])) if parsed else np.zeros(0)
     out, at = [], 0
     for nodes, texts in parsed:
@@ -458,7 +506,7 @@ def extracted(pages: list[str], trees: Trees) -> list[str]:
 def main_text(pages: DataFrame, trees: Trees | None = None, key: str = "page_id", content: str = "html", others: tuple[str, ...] = ("url",)) -> DataFrame:
     """key, the other columns asked for, and the text of each page.
 
-    Null or empty html: empty text. Null keys and repeated rows give a row each. An empty table gives
+    Null or empty html: empty text. Malformed UTF-8 reads as U+FFFD. Null keys and repeated rows give a row each. An empty table gives
     an empty table.
     """
     trees = trees or trained()
@@ -470,7 +518,7 @@ def main_text(pages: DataFrame, trees: Trees | None = None, key: str = "page_id"
 
         return each
 
-    rows = pages.select(F.col(content).alias("__html"), key, *others)
+    rows = pages.select(F.make_valid_utf8(content).alias("__html"), key, *others)
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (key, *others))
     return map_batches(rows, make, f"{schema}, text string")
 
