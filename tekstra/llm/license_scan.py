@@ -10,6 +10,9 @@ verifies a window around each with bounded errors and reports the span and its e
 from __future__ import annotations
 
 import functools
+import heapq
+from bisect import bisect_left, insort
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -60,8 +63,23 @@ class Notice:
         return [(a, self.text[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     @functools.cached_property
-    def pattern(self) -> regex.Pattern:
-        return regex.compile(f"(?b)(?:{regex.escape(self.text)}){{e<={self.errors}}}")
+    def patterns(self) -> list[regex.Pattern]:
+        """For 0, 1, ... edits at most."""
+        return [regex.compile(f"(?:{regex.escape(self.text)}){{e<={k}}}" if k else regex.escape(self.text)) for k in range(self.errors + 1)]
+
+    @functools.cached_property
+    def letters(self) -> list[tuple[str, int]]:
+        return sorted(Counter(self.text).items())
+
+    def best(self, text: str, lo: int, hi: int) -> regex.Match | None:
+        """A match of fewest edits in text[lo:hi]. An edit costs one letter at most, so a stretch that lacks more letters than edits has none."""
+        lacking = 0
+        for letter, n in self.letters:
+            if (have := text.count(letter, lo, hi)) < n:
+                lacking += n - have
+                if lacking > self.errors:
+                    return None
+        return next((m for pattern in self.patterns[lacking:] if (m := pattern.search(text, lo, hi))), None)
 
 
 @functools.cache
@@ -87,48 +105,73 @@ def places(joined: bytes, phrase: bytes) -> list[int]:
 
 
 def fuzzy(joined: bytes, rows: tuple[tuple[str, str, int], ...]) -> list[tuple[str, int, int, int, float]]:
-    """label, first word, end word (exclusive), edits, score: in each stretch of candidates the best match, then the best before and after it, and so on."""
-    windows: dict[Notice, list[tuple[int, int]]] = {}
-    for notice, offset, seed, length in seed_patterns(rows):
-        at = joined.find(seed)
+    """label, first word, end word (exclusive), edits, score: of each notice the best matches first, then those that lie beside them.
+
+    Every match holds a seed, so it lies in that seed's window; no window is longer than its notice and
+    its edits on either side, and the time is linear in the text and in the candidates.
+    """
+    hit = {seed for _, _, seed, _ in seed_patterns(rows) if seed in joined}
+    if not hit:
+        return []
+    text = joined.decode()
+    windows: dict[Notice, set[tuple[int, int]]] = {}
+    for notice, offset, raw, length in seed_patterns(rows):
+        seed = raw.decode()
+        at = text.find(seed) if raw in hit else -1
         while at >= 0:
-            start = at - offset - notice.errors
-            windows.setdefault(notice, []).append((max(0, start), at - offset + length + notice.errors))
-            at = joined.find(seed, at + 1)
+            windows.setdefault(notice, set()).add((max(0, at - offset - notice.errors), min(len(text), at - offset + length + notice.errors)))
+            at = text.find(seed, at + 1)
+    spaces = [at for at, c in enumerate(text) if c == " "]
     found = []
     for notice, spans in windows.items():
-        spans.sort()
-        merged: list[list[int]] = []
-        for a, b in spans:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            # Windows are cut at character borders.
-            while 0 < a < len(joined) and 0x80 <= joined[a] < 0xC0:
-                a -= 1
-            while b < len(joined) and 0x80 <= joined[b] < 0xC0:
-                b += 1
-            text, left = joined[a:b].decode(), a
-            # The best match comes first; worse ones may lie on either side of it, where there is room.
-            gaps, least = [(0, len(text))], len(notice.text) - notice.errors
-            while gaps:
-                lo, hi = gaps.pop()
-                if hi - lo < least or not (m := notice.pattern.search(text, lo, hi)):
-                    continue
-                i, j = left + len(text[: m.start()].encode()), left + len(text[: m.end()].encode())
-                edits = sum(m.fuzzy_counts)
-                first = joined.count(b" ", 1, i + 1) if joined[i : i + 1] != b" " else joined.count(b" ", 1, i + 2)
-                found.append((notice.label, first, first + len(joined[i:j].split()), edits, 1 - edits / len(notice.text)))
-                gaps += [(lo, m.start()), (m.end(), hi)]
-    # Where notices of several labels overlap, those that match best stand.
-    found.sort(key=lambda x: (-x[4], x))
-    best: list[tuple[str, int, int, int, float]] = []
-    for x in found:
-        if all(x[0] == y[0] or x[4] == y[4] or x[2] <= y[1] or y[2] <= x[1] for y in best):
-            best.append(x)
-    return sorted(best)
+        for i, j, edits in matches(text, notice, sorted(spans)):
+            first = bisect_left(spaces, i + 1 + (text[i] == " ")) - 1
+            found.append((notice.label, first, first + len(text[i:j].split()), edits, 1 - edits / len(notice.text)))
+    return standing(found)
+
+
+def matches(text: str, notice: Notice, windows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """start, end, edits: matches that don't overlap. A window whose best match overlaps a better one is searched again in what is left of it."""
+    least, queue = len(notice.text) - notice.errors, []
+
+    def search(lo: int, hi: int) -> None:
+        if hi - lo >= least and (m := notice.best(text, lo, hi)):
+            heapq.heappush(queue, (sum(m.fuzzy_counts), m.start(), m.end(), lo, hi))
+
+    # Seeds of one match have windows that start within twice its edits: those are searched as one.
+    at = 0
+    while at < len(windows):
+        lo, hi = windows[at]
+        while at < len(windows) and windows[at][0] <= lo + 2 * notice.errors:
+            hi = max(hi, windows[at][1])
+            at += 1
+        search(lo, hi)
+    out: list[tuple[int, int, int]] = []  # in order of place
+    while queue:
+        edits, i, j, lo, hi = heapq.heappop(queue)
+        a = bisect_left(out, (lo,))
+        a -= a > 0 and out[a - 1][1] > lo
+        b = bisect_left(out, (hi,))
+        if not any(x < j and i < y for x, y, _ in out[a:b]):
+            insort(out, (i, j, edits))
+            continue
+        edge = lo
+        for x, y, _ in out[a:b]:
+            search(edge, x)
+            edge = max(edge, y)
+        search(edge, hi)
+    return out
+
+
+def standing(found: list[tuple[str, int, int, int, float]]) -> list[tuple[str, int, int, int, float]]:
+    """Where notices of several labels overlap, those that match best stand. Spans are short, so a span's overlaps start near it."""
+    longest = max((x[2] - x[1] for x in found), default=0)
+    starting: dict[int, list[tuple[str, int, int, int, float]]] = {}
+    for x in sorted(found, key=lambda x: (-x[4], x)):
+        near = (y for at in range(x[1] - longest, x[2]) for y in starting.get(at, ()))
+        if all(x[0] == y[0] or x[4] == y[4] or y[2] <= x[1] for y in near):
+            starting.setdefault(x[1], []).append(x)
+    return sorted(x for kept in starting.values() for x in kept)
 
 
 def scan_text(raw: bytes, rows: tuple[tuple[str, str, int], ...]) -> tuple:
@@ -149,7 +192,7 @@ SPANS = "array<struct<label:string,first_word:bigint,end_word:bigint,edits:bigin
 def scan(docs: DataFrame, notices_of: list[tuple[str, str, int]] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row: counts, labels, score and the fuzzy spans of the whole text.
 
-    Null or empty text: no words, no labels, score 0. Null keys and repeated rows each give one row;
+    Null or empty text: no words, no labels, score 0. Malformed UTF-8 reads as U+FFFD. Null keys and repeated rows each give one row;
     other columns are left out. An empty table gives an empty table.
     """
     rows = tuple(notices_of or NOTICES)

@@ -71,3 +71,51 @@ def test_worse_matches_before_the_best_are_found():
     for texts, edits in ((["reservd", "reserved", "reserved"], [1, 0, 0]), (["reservd", "reserved", "resrved"], [1, 0, 1])):
         raw = " ".join(f"all rights {x}" for x in texts).encode()
         assert [(x[1], x[2], x[3]) for x in l.scan_text(raw, tuple(l.NOTICES))[7]] == [(3 * k, 3 * k + 3, e) for k, e in enumerate(edits)]
+
+
+def passages(text, notice, k):
+    """Every stretch within k edits of the notice, by the edit distance of each: start, end, edits."""
+    n = len(notice)
+    out = []
+    for a in range(len(text)):
+        for b in range(max(a, a + n - k), min(len(text), a + n + k) + 1):
+            if abs(b - a - n) <= k and (d := distance(notice, text[a:b])) <= k:
+                out.append((a, b, d))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_spans_labels_and_score_by_edit_distance(seed):
+    """Best first, each span is a best one of those that overlap no span before it, and no passage is left beside them."""
+    rng = random.Random(1000 + seed)
+    notice, label, k = rng.choice([x for x in l.NOTICES if len(x[0]) < 45])
+    parts = [rng.choice([edited(rng, notice, rng.randint(0, k + 1)), "some words", "né ü", notice[: len(notice) // 2]]) for _ in range(rng.randint(1, 4))]
+    joined = b" " + b" ".join(" ".join(parts).encode().translate(l.TO_WORDS).split()) + b" "
+    text = joined.decode()
+    every = passages(text, notice, k)
+    found = sorted(l.matches(text, l.Notice(notice, label, k), sorted({(max(0, a - k), min(len(text), b + k)) for a, b, _ in every})), key=lambda x: (x[2], x[0]))
+    left = every
+    for a, b, d in found:
+        assert d == distance(notice, text[a:b]) == min(x[2] for x in left)
+        left = [x for x in left if x[1] <= a or b <= x[0]]
+    assert not left
+    got = l.scan_text(joined, ((notice, label, k),))
+    assert [x[3] for x in got[7]] == [d for _, _, d in sorted(found)]
+    assert got[5] == ",".join(sorted({*([got[4]] if got[4] else []), *([label] if found else [])}))
+    assert got[6] == (1.0 if got[1] else max((1 - d / len(notice) for _, _, d in found), default=0.0))
+    for (a, b, d), (_, first, end, edits, score) in zip(sorted(found), got[7], strict=True):
+        assert first == text[1 : a + 1 + (text[a] == " ")].count(" ") and end == first + len(text[a:b].split())
+        assert (edits, score) == (d, 1 - d / len(notice))
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    raw = b"all rights reserved licensed under the mit license text all rights reservd "
+    took = []
+    for n in (2_000, 50_000):
+        start = time.perf_counter()
+        got = l.scan_text(raw * n, tuple(l.NOTICES))
+        took.append(time.perf_counter() - start)
+        assert sum(x[0] == "proprietary" for x in got[7]) == 2 * n
+    assert took[1] < 60 * max(took[0], 0.05), took
