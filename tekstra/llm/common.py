@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -46,6 +47,20 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def bounds_upto(bounds: list[tuple[int, int]], first: str, second: str) -> Column:
+    """How many of the sorted bounds are at or before (first, second): halving steps over one constant of the plan, whatever their number."""
+    known = F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in bounds])), "array<struct<a:bigint,b:bigint>>")
+    key = F.struct(F.col(first).alias("a"), F.col(second).alias("b"))
+    steps = F.array(*(F.lit(1 << p) for p in range(len(bounds).bit_length(), -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get(known, acc + step - 1) <= key, acc + step).otherwise(acc))
+
+
+def bound_at(bounds: list[tuple[int, int]], place: Column, first: str, second: str) -> Column:
+    """Whether (first, second) is the bound at that place (from 0)."""
+    known = F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in bounds])), "array<struct<a:bigint,b:bigint>>")
+    return F.coalesce(F.get(known, place) == F.struct(F.col(first).alias("a"), F.col(second).alias("b")), F.lit(False))
+
+
 _CACHES: dict[str, Callable[[], None]] = {}
 
 

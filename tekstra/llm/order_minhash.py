@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bound_at, bounds_upto, stored
+
 K, L, BUCKET_BITS = 3, 2, 5
 BUCKETS = 1 << BUCKET_BITS
 POSITION = 28
 HASH = 64 - POSITION
 PLACES = (1 << POSITION) - 1
-#: Documents in a run of consecutive ids that one task windows over.
-RUN = 8_000
+#: Documents, and bytes of text, in a run of consecutive rows that one task windows over, on average at most; samples for each run's bounds.
+RUN, RUN_BYTES, SAMPLES = 32_000, 64 << 20, 40
 FIRST = -(1 << 63)
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -106,45 +108,80 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return with_fingerprint(rows, {"text": "fingerprint"}).select(key, "fingerprint")
 
 
-def runs(rows: DataFrame) -> DataFrame:
-    """Rows (id, text) in runs of consecutive ids, with columns run and guest: each run has as a guest the rows that follow its last one (the first rows of all, after the last run).
+def run_bounds(keys: DataFrame, n: int, total: int, parts: int) -> list[tuple[int, int]]:
+    """Keys (id, tie) at which runs of about equal bytes begin: quantiles of a sample that is drawn by hash, with a chance in proportion to a key's bytes.
 
-    Runs begin at ids that occur, so the row that follows a run is known by its id alone.
+    The sample has about SAMPLES keys a run, so it is bounded by the number of tasks, not of documents.
+    """
+    each = total / (parts * SAMPLES)
+    u = F.pmod(F.xxhash64("id", "tie", F.lit(8)), F.lit(1 << 52)) / float(1 << 52)
+    drawn = sorted((r.id, r.tie, max(r.bytes, each)) for r in keys.where(u * each < F.col("bytes")).select("id", "tie", "bytes").collect())
+    out, upto, due = [], 0.0, total / parts
+    for ident, tie, weight in drawn:
+        if upto >= due:
+            out.append((ident, tie))
+            due = (upto // (total / parts) + 1) * (total / parts)
+        upto += weight
+    return out
+
+
+def in_runs(rows: DataFrame, bounds: list[tuple[int, int]], least: tuple[int, int]) -> DataFrame:
+    """Adds run and guest. Each run has as a guest the row that follows its last one (the first of all, after the last run), and is a partition of its own.
+
+    The bounds are one constant of the plan, whatever their number.
     """
-    n = rows.count()
-    parts = n // RUN + 1
-    shares = [i / parts for i in range(1, parts)]
-    least, cuts = rows.agg(F.min("id"), F.percentile_approx("id", shares or [0.5], max(10_000, 20 * parts))).first()
-    starts = sorted({x for x in (cuts or []) if x > least} if parts > 1 else ())
-    bounds = F.array(*map(long, starts)) if starts else F.array().cast("array<bigint>")
-    steps = F.array(*(F.lit(1 << p) for p in range(len(starts).bit_length(), -1, -1)))
-    run = F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get(bounds, acc + step - 1) <= F.col("id"), acc + step).otherwise(acc))
+    at_start = (F.col("id") == F.lit(least[0])) & (F.col("tie") == F.lit(least[1]))
     own = F.struct(F.col("run"), F.lit(False).alias("guest"))
-    before = F.struct(F.when(F.col("id") == F.lit(least), F.lit(len(starts))).otherwise(F.col("run") - 1).alias("run"), F.lit(True).alias("guest"))
-    first = (F.col("id") == F.lit(least)) | F.coalesce(F.get(bounds, F.col("run") - 1) == F.col("id"), F.lit(False))
-    rows = rows.withColumn("run", run).withColumn("at", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
-    return rows.select("id", "text", "at.run", "at.guest")
+    before = F.struct(F.when(at_start, F.lit(len(bounds))).otherwise(F.col("run") - 1).alias("run"), F.lit(True).alias("guest"))
+    first = at_start | bound_at(bounds, F.col("run") - 1, "id", "tie")
+    rows = rows.withColumn("run", bounds_upto(bounds, "id", "tie")).withColumn("at", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
+    return rows.drop("run").withColumns({"run": F.col("at.run"), "guest": F.col("at.guest")}).drop("at").repartitionById(len(bounds) + 1, "run")
 
 
 def op8(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likenesses.
 
-    Null text: empty. A null id comes before all others; rows of one id follow each other by their
-    text's hash. A single row is its own next. An empty table gives an empty table.
+    Null text: empty. Malformed UTF-8 reads as U+FFFD. A null id comes before all others; rows of one id
+    follow each other by their text's hash, whichever run they fall in. Rows equal in id and text take
+    part once, with their number, so a third of all rows may be one: all but the last of them have
+    themselves as next. A single row is its own next. An empty table gives an empty table.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(FIRST)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = F.make_valid_utf8(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    keys = stored(rows.groupBy("id", "tie").agg(F.count("*").alias("n"), (F.max(F.octet_length("text")) + 1).cast("long").alias("bytes")))
+    n, total, most, least = keys.agg(F.count("*"), F.sum("bytes"), F.max("n"), F.min(F.struct("id", "tie"))).first()
+    n, total, most, least = n, total or 1, most or 1, tuple(least or (FIRST, 0))
+    if most > 1:
+        again = keys.where("n > 1").select("id", "tie")
+        many = rows.join(again, ["id", "tie"], "left_semi").groupBy("id", "tie").agg(F.min("text").alias("text"), F.count("*").alias("n"))
+        rows = rows.join(again, ["id", "tie"], "left_anti").withColumn("n", F.lit(1).cast("long")).unionByName(many)
+    parts = max(n // RUN + 1, total // RUN_BYTES + 1, min(n // 64 + 1, 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    # The text's own fingerprint before rows move, where the tables' splits balance the work; the edited text's after.
+    rows = in_runs(with_fingerprint(rows, {"text": "a"}), run_bounds(keys, n, total, parts), least)
     order = Window.partitionBy("run").orderBy("guest", "id", "tie")
-    rows = runs(rows).withColumn("tie", F.xxhash64("text")).withColumn("next", F.lead("text").over(order))
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr(F.coalesce("next", F.lit("")), F.lit(1), half)))
-    rows = with_fingerprint(rows.drop("next"), {"text": "a", "edited": "b"})
-    rows = rows.select("id", "run", "guest", "tie", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", "b").withColumn("next", F.lead("a").over(order)).where("not guest")
+    edited = lambda following: F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr(following, F.lit(1), half))
+    rows = rows.withColumn("edited", edited(F.lead("text").over(order)))
+    # A row that comes n times is followed n - 1 times by itself.
+    texts = {"edited": "b"}
+    if most > 1:
+        rows, texts = rows.withColumn("edited_alike", F.when(F.col("n") > 1, edited(F.col("text")))), texts | {"edited_alike": "b_alike"}
+    rows = with_fingerprint(rows, texts)
+    one = F.struct(F.sha2("edited", 256).alias("sha"), F.col("b").alias("b"), F.lit(1).cast("long").alias("times"), F.lit(False).alias("alike"))
+    cases = F.array(one)
+    if most > 1:
+        alike = F.struct(F.sha2("edited_alike", 256).alias("sha"), F.col("b_alike").alias("b"), (F.col("n") - 1).alias("times"), F.lit(True).alias("alike"))
+        cases = F.when(F.col("n") > 1, F.array(one, alike)).otherwise(cases)
+    rows = rows.select("id", "run", "guest", "tie", F.length("text").cast("long").alias("n_chars"), "a", cases.alias("cases")).withColumn("next", F.lead("a").over(order)).where("not guest")
+    rows = rows.select("id", "n_chars", "a", "next", F.explode("cases").alias("e")).select("*", "e.sha", "e.b", "e.alike", "e.times")
+    if most > 1:
+        rows = rows.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return rows.select(
         F.when(F.col("id") != FIRST, F.col("id")).alias("doc_id"),
         "n_chars",
-        "edited_sha256",
+        F.col("sha").alias("edited_sha256"),
         written(F.col("a")).alias("fingerprint"),
         written(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"),
-        likeness(F.col("a"), F.coalesce("next", "a")).alias("near_next"),
+        F.when(F.col("alike"), F.lit(1.0)).otherwise(likeness(F.col("a"), F.col("next"))).alias("near_next"),
     )

@@ -12,37 +12,38 @@ goes before its group, but groups with several boundaries are cut by id.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounds_upto, stored
 
 SHARDS = 8
 #: Ranges for each shard at least, records in a range at most (on average), samples for each range, times the mean at which a range is overfull.
 RANGES_A_SHARD, ROWS_A_RANGE, SAMPLES_A_RANGE, OVERFULL = 8, 2_000_000, 40, 2.0
+#: Equal rows that one task turns back into rows.
+COPIES = 100_000
 #: Part of a shard up to which a group of equal texts is kept whole.
 WHOLE_GROUP = 1 / 50
 LEAST = -(1 << 63)
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
+    """One row for all rows equal in id and text, with their number n; bytes: of all of them."""
+    body = F.make_valid_utf8(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(
         F.col(key).alias("doc_id"),
         F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("tie"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(body).alias("h"),
     )
+    return rows.groupBy("doc_id", "tie", "size", "text_crc32", "h").agg(F.count("*").alias("n")).withColumn("bytes", F.col("size") * F.col("n"))
 
 
 def sample(rows: DataFrame, a_key: float, salt: int) -> list[tuple[int, int, float]]:
-    """Keys drawn with probability size / a_key (at most 1), by hash; each with the bytes it stands for. Their number is bounded by bytes / a_key."""
+    """Keys drawn with probability bytes / a_key (at most 1), by hash; each with the bytes it stands for. Their number is bounded by bytes / a_key."""
     u = F.pmod(F.xxhash64("h", "tie", F.lit(salt)), F.lit(1 << 52)) / float(1 << 52)
-    return [(r.h, r.tie, max(r.size, a_key)) for r in rows.where(u * a_key < F.col("size")).select("h", "tie", "size").collect()]
+    return [(r.h, r.tie, max(r.bytes, a_key)) for r in rows.where(u * a_key < F.col("bytes")).select("h", "tie", "bytes").collect()]
 
 
 def boundaries(drawn: list[tuple[int, int, float]], a_range: float) -> list[tuple[int, int]]:
@@ -60,29 +61,27 @@ def boundaries(drawn: list[tuple[int, int, float]], a_range: float) -> list[tupl
 
 
 def ranged(rows: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    @F.arrow_udf("int")
-    def range_of(h: pa.Array, tie: pa.Array) -> pa.Array:
-        return pa.array([bisect_right(bounds, x) for x in zip(h.to_pylist(), tie.to_pylist(), strict=True)], pa.int32())
-
-    return rows.withColumn("range", range_of("h", "tie"))
+    return rows.withColumn("range", bounds_upto(bounds, "h", "tie"))
 
 
 def assigned(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row.
 
-    Null text: empty (size 1). A null id sorts last. Repeated rows are records of their own; which of
-    two identical rows has which slot is open. An empty table gives an empty table.
+    Null text: empty (size 1). Malformed UTF-8 reads as U+FFFD. A null id sorts last. Repeated rows are
+    records of their own; which of two identical rows has which slot is open. They go through the ranges
+    as one row with their number, so no task orders a third of all rows because they are equal. An empty
+    table gives an empty table.
     """
     spark = docs.sparkSession
     rows = stored(keyed(docs, key, text))
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n, total, most = rows.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     ranges = max(shards * RANGES_A_SHARD, n // ROWS_A_RANGE + 1)
     a_range = max(1.0, total / ranges)
     bounds = boundaries(sample(rows, max(1.0, a_range / SAMPLES_A_RANGE), 1), a_range)
     for deeper in (1, 2, 3):
         placed = ranged(rows, bounds)
-        stats = {r["range"]: (r.n, r.bytes) for r in placed.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
-        overfull = [k for k, (c, b) in stats.items() if c > 1 and (b > OVERFULL * a_range or c > OVERFULL * max(ROWS_A_RANGE, n / ranges * 4))]
+        stats = {r["range"]: (r.c, r.n, r.bytes) for r in placed.groupBy("range").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).collect()}
+        overfull = [k for k, (c, _, b) in stats.items() if c > 1 and (b > OVERFULL * a_range or c > OVERFULL * max(ROWS_A_RANGE, n / ranges * 4))]
         if not overfull or deeper == 3:
             break
         finer = a_range / SAMPLES_A_RANGE / 8**deeper
@@ -90,17 +89,23 @@ def assigned(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: s
     before, starts = (0, 0), []
     for k in range(len(bounds) + 1):
         starts.append((k, *before))
-        before = before[0] + stats.get(k, (0, 0))[0], before[1] + stats.get(k, (0, 0))[1]
+        before = before[0] + stats.get(k, (0, 0, 0))[1], before[1] + stats.get(k, (0, 0, 0))[2]
     # As many rows as ranges: a bounded table.
     starts_of = spark.createDataFrame(starts, "range int, rows_before long, bytes_before long")
     order = Window.partitionBy("range").orderBy("h", "tie")
     group = Window.partitionBy("range", "h")
-    local = placed.withColumns({"rn": F.row_number().over(order), "upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    local = local.withColumns({"first": F.min(F.col("upto") - F.col("size")).over(group), "group": F.sum("size").over(group)})
+    running = lambda c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c)
+    local = placed.withColumns({"rows_inside": running("n"), "bytes_inside": running("bytes")})
+    local = local.withColumns({"first": F.min("bytes_inside").over(group), "group": F.sum("bytes").over(group)})
     local = local.join(F.broadcast(starts_of), "range")
-    inside = F.when(F.col("group") * shards <= total * WHOLE_GROUP, F.col("first")).otherwise(F.col("upto") - F.col("size"))
+    if most > COPIES:  # many equal rows: their copies are made by many tasks
+        local = local.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))).repartition("range", "h", "tie", "from")
+    else:
+        local = local.withColumn("from", F.lit(0).cast("long"))
+    local = local.withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("n") - 1, F.col("from") + COPIES - 1))))
+    inside = F.when(F.col("group") * shards <= total * WHOLE_GROUP, F.col("first")).otherwise(F.col("bytes_inside") + F.col("copy") * F.col("size"))
     shard = F.least(F.lit(shards - 1), F.floor((F.col("bytes_before") + inside) * shards / F.lit(max(1, total)))).cast("int")
-    local = stored(local.select("doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("rows_before") + F.col("rn") - 1).alias("at")))
+    local = stored(local.select("doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("rows_before") + F.col("rows_inside") + F.col("copy")).alias("at")))
     firsts = local.groupBy("shard").agg(F.min("at").alias("first"))
     return local.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("first")).alias("slot"))
 

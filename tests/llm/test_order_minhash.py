@@ -95,3 +95,31 @@ def test_no_python_in_the_plan(documents):
 def test_linear_on_repeats(spark):
     docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 100_000).alias("text"))
     assert om.fingerprints(docs).select(F.size("fingerprint")).first()[0] == om.BUCKETS
+
+
+def test_one_row_many_times_and_one_id_of_many_texts(spark, monkeypatch):
+    """A third of the rows are one row, a third have no id: both are cut over runs, and each row's next is the one after it in order."""
+    monkeypatch.setattr(om, "RUN", 50)
+    rows = [(7, "the very same row again and again") for _ in range(400)] + [(None, f"row {i} without an id has words") for i in range(400)] + [(i, f"text {i} of some more words") for i in range(100, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = om.op8(docs)
+    got = found.collect()
+    order = sorted(((om.FIRST if i is None else i, signed(xxhash.xxh64_intdigest(t.encode(), seed=42)), t) for i, t in rows))
+    want = Counter()
+    for (i, _, t), (_, _, following) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        want[None if i == om.FIRST else i, hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
+def test_runs_are_even_and_the_plan_has_one_constant_for_all_bounds(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of row "), F.col("id")).alias("text"))
+    sizes = []
+    for run in (10_000, 100):
+        monkeypatch.setattr(om, "RUN", run)
+        plan = om.op8(docs)._jdf.queryExecution().optimizedPlan()
+        sizes.append(plan.treeString().count("\n"))
+        bounds = om.run_bounds(docs.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("tie"), F.lit(1).cast("long").alias("bytes")), 20_000, 20_000, 20_000 // run + 1)
+        starts = [0, *(b[0] for b in bounds), 20_000]
+        assert max(b - a for a, b in zip(starts, starts[1:], strict=False)) < 2 * run
+    assert sizes[0] == sizes[1]

@@ -49,3 +49,40 @@ def test_odd_rows(odd_docs, no_docs, tmp_path, documents):
     sharding.write_shards(documents, str(tmp_path / "out"))
     back = documents.sparkSession.read.parquet(str(tmp_path / "out"))
     assert back.drop("shard").exceptAll(documents).count() == 0 and back.count() == documents.count()
+
+
+def plain(rows):
+    """Shard and slot of each row, the plain way: all rows in order of text hash and id, cut at equal bytes."""
+    import xxhash
+
+    items = []
+    for r in rows:
+        raw = (r.text or "").encode()
+        h = xxhash.xxh64_intdigest(raw, seed=42)
+        items.append((h - (1 << 64) if h >> 63 else h, (1 << 63) - 1 if r.doc_id is None else r.doc_id, r.doc_id, len(raw) + 1))
+    items.sort(key=lambda x: x[:2])
+    total, groups, first, at = sum(x[3] for x in items), Counter(), {}, 0
+    for h, _, _, size in items:
+        groups[h] += size
+        first.setdefault(h, at)
+        at += size
+    out, counts, at = Counter(), Counter(), 0
+    for h, _, doc, size in items:
+        place = first[h] if groups[h] * 8 <= total / 50 else at
+        shard = min(7, int(place * 8 / total))
+        out[doc, shard, counts[shard]] += 1
+        counts[shard] += 1
+        at += size
+    return out
+
+
+def test_equals_the_plain_way(spark, documents, odd_docs):
+    hot = spark.createDataFrame([(1, "the same row") for _ in range(300)] + [(None, f"row {i}") for i in range(300)] + [(i, f"text {i % 100}") for i in range(300)], "doc_id long, text string").repartition(4)
+    for docs in (documents, odd_docs, hot, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        assert Counter((r.doc_id, r.shard, r.slot) for r in sharding.op6(docs).collect()) == plain(docs.collect())
+
+
+def test_copies_of_a_hot_row_are_made_by_many_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the same row")] * 500 + [(i, f"text {i}") for i in range(100, 400)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    assert Counter((r.doc_id, r.shard, r.slot) for r in sharding.op6(docs).collect()) == plain(docs.collect())
