@@ -8,7 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Line ends as Unicode text has them; Java's and RE2's classes lack some.
 LINE_END = "\\r\\n|[\\n\\x0B\\x0C\\r\\x1C-\\x1E\\x85\\u2028\\u2029]"
@@ -57,6 +57,11 @@ def composed(x: Column | str) -> Column:
     return _composed(x, "[^\\x00-\\x7F]")
 
 
+def stripped(x: Column | str) -> Column:
+    """Without white space at the ends; null gives ""."""
+    return F.regexp_replace(F.coalesce(col(x), F.lit("")), BLANK_ENDS, "")
+
+
 def lines(x: Column) -> Column:
     """The lines of a text, without a last empty one."""
     return F.split(x, LINE_END)
@@ -121,6 +126,18 @@ def tidy(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(composed(F.coalesce(col(x), F.lit(""))), "(?U)\\s+", " "), "^ | $", "")
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _composed_all(rows: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else [unicodedata.normalize("NFC", t or "") for t in x] for x in rows.to_pylist()], pa.list_(pa.string()))
+
+
+def tidy_all(texts: Column) -> Column:
+    """N10 of each text of an array; arrays of ASCII texts don't leave the JVM."""
+    texts = F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
+    texts = F.coalesce(_composed_all(F.when(F.exists(texts, lambda t: t.rlike("[^\\x00-\\x7F]")), texts)), texts)
+    return F.transform(texts, lambda t: F.regexp_replace(F.regexp_replace(t, "(?U)\\s+", " "), "^ | $", ""))
+
+
 def word_count(x: Column | str) -> Column:
     """Words between Unicode white space."""
     x = F.regexp_replace(col(x), BLANK_ENDS, "")

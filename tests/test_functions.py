@@ -97,10 +97,29 @@ def test_wikitext(spark):
     assert run(spark, markup.prose_of_wikitext, [text]) == ["'''x''' is the y and z.\nHead\nitem label\n& end k"]
 
 
+def links(text):
+    return re.sub(r"\[\[([^\]]+)\]\]", lambda m: m[1].partition("|")[2] if "|" in m[1] else m[1], text)
+
+
+def test_links_keep_what_follows_their_first_bar(spark):
+    rng = random.Random(9)
+    values = ["".join(rng.choices(["[[", "]]", "[", "]", "|", "a", "b c"], k=rng.randint(1, 12))) for _ in range(400)]
+    values = [v for v in values if v.strip()]
+    tidy = lambda t: "\n".join(x for ln in t.splitlines() if (x := re.sub(r"[ \t]+", " ", ln).strip()))
+    assert run(spark, markup.prose_of_wikitext, values) == [tidy(links(v)) for v in values]
+
+
+def test_wikitext_rows_without_braces_stay_in_the_jvm_and_headings_end_at_line_ends_alone(spark):
+    text = "= A =\n== B\u2028c ==\r\n* x\u00a0\n#;: y &eacute; http://a.b/c\u2003d"
+    assert run(spark, markup.prose_of_wikitext, [text]) == ["A\nB\nc\nx\ny é \u2003d"]
+
+
 def test_books(spark):
     a = "head\n*** START OF THIS PROJECT GUTENBERG EBOOK X ***\nbody _one_\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\ntail"
     b = "preamble\n***\nsecond\n ****  \nthe text\nEnd of the Project Gutenberg Etext of x"
     assert run(spark, markup.body_of_book, [a, b, "plain"]) == ["body one", "the text", "plain"]
+    both = "x\n***\n*** start of the project gutenberg ebook y *** one\n***\ntwo\f ***START: FULL LICENSE*** z *** END OF PROJECT GUTENBERG EBOOK ***"
+    assert run(spark, markup.body_of_book, [both, "***", "", "a\n***\n"]) == ["one\n***\ntwo", "", "", ""]
     rows = spark.createDataFrame([(bytearray("café".encode()),), (bytearray(b"caf\xe9 \x93q\x94"),), (bytearray(b"\x81"),)], "b binary")
     assert [r.v for r in rows.select(markup.text_of_bytes("b").alias("v")).collect()] == ["café", "café “q”", "\x81"]
 
