@@ -5,10 +5,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.markup import gram_hash
+from ..functions.markup import blake2b_signature
 
 SIGNATURE, SHARED, SHINGLE, MAX_CHARS = 12, 8, 5, 250_000
 
@@ -32,13 +32,18 @@ def with_signature(docs: DataFrame, text: str, algorithm: str, out: str) -> Data
     """Adds the twelve smallest hashes of a text's shingles, repeated ones included.
 
     Shingles are runs of five words of [a-z0-9], of the words whose lengths, with a space each, sum to
-    250,000 at most: a word is kept while its end in the joined words lies within. A lookahead finds
-    overlapping runs in one pass. What is used twice is a column of its own, so it is computed once.
+    250,000 at most: a word is kept while its end in the joined words lies within. What a lambda looks
+    into is a column of its own, so it is computed once.
     """
-    docs = docs.withColumn("__w", F.concat(F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), " "), F.lit(" ")))
-    docs = docs.withColumn("__w", F.when(F.length("__w") <= MAX_CHARS, F.col("__w")).otherwise(F.regexp_replace(F.substring("__w", 1, MAX_CHARS), "[^ ]*$", "")))
-    grams = F.regexp_extract_all("__w", F.lit("(?<![^ ])(?=((?:[^ ]+ ){4}[^ ]+) )"), 1)
-    return docs.withColumn(out, F.slice(F.array_sort(gram_hash(grams, algorithm)), 1, SIGNATURE)).drop("__w")
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+    joined = F.concat(F.array_join(words, " "), F.lit(" "))
+    within = F.regexp_replace(F.substring(joined, 1, MAX_CHARS), "[^ ]*$", "")
+    docs = docs.withColumn("__w", F.when(F.length(text) < MAX_CHARS, words).otherwise(F.filter(F.split(within, " "), lambda w: w != "")))
+    if algorithm == "blake2b":
+        return docs.withColumn(out, blake2b_signature("__w", SHINGLE, SIGNATURE)).drop("__w")
+    starts = F.slice("__w", F.lit(1), F.greatest(F.size("__w") - F.lit(SHINGLE - 1), F.lit(0)))
+    docs = docs.withColumn("__h", F.transform(starts, lambda w, i: F.substring(F.md5(F.concat_ws(" ", w, *(F.get("__w", i + k) for k in range(1, SHINGLE)))), 1, 16)))
+    return docs.withColumn(out, F.slice(F.sort_array("__h"), 1, SIGNATURE)).drop("__w", "__h")
 
 
 def near_duplicates(docs: DataFrame, ord: str, text: str = "text", algorithm: str = "blake2b") -> DataFrame:
@@ -49,7 +54,8 @@ def near_duplicates(docs: DataFrame, ord: str, text: str = "text", algorithm: st
     entries by hash, so signatures are computed once.
     """
     signed = with_signature(docs.select(F.col(ord).alias("__ord"), F.col(text).alias("__t")), "__t", algorithm, "s")
-    entries = signed.select("__ord", F.explode("s").alias("h")).repartition("h")
+    # Not explode: the filter that it infers on the array would compute it again, inside its own lambda.
+    entries = signed.select("__ord", F.explode_outer("s").alias("h")).where("h IS NOT NULL").repartition("h")
     firsts = entries.groupBy("h").agg(F.min("__ord").alias("first"))
     shared = entries.join(firsts, "h").where(F.col("first") < F.col("__ord")).groupBy("__ord").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
     flagged = shared.select(F.col("__ord").alias(ord), F.lit(True).alias("__near"))
@@ -57,12 +63,18 @@ def near_duplicates(docs: DataFrame, ord: str, text: str = "text", algorithm: st
 
 
 def cross_source(examples: DataFrame, ord: str = "ord") -> DataFrame:
-    """Adds first_source (of the pair of prompt and target), duplicate, and prompt_seen (kept, but its prompt came before)."""
-    pair = Window.partitionBy("prompt", "target").orderBy(ord)
-    examples = examples.withColumns({"duplicate": F.row_number().over(pair) > 1, "first_source": F.first("source").over(pair)})
-    prompt = Window.partitionBy("prompt").orderBy(ord).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.max((~F.col("duplicate")).cast("int")).over(prompt), F.lit(0)) > 0
-    return examples.withColumn("prompt_seen", ~F.col("duplicate") & seen)
+    """Adds first_source (of the pair of prompt and target), duplicate, and prompt_seen (kept, but its prompt came before).
+
+    The first row of a prompt is the first of its pair, so a kept row's prompt was seen if any row of the
+    prompt comes before. Firsts are aggregated minima that are joined back by hash: a prompt that a third
+    of all rows share is no window, and texts don't move for it.
+    """
+    hashed = examples.withColumns({"__p": F.sha1(F.coalesce("prompt", F.lit(""))), "__t": F.sha1(F.coalesce("target", F.lit("")))})
+    pairs = hashed.groupBy("__p", "__t").agg(F.min(F.struct(F.col(ord).alias("ord"), "source")).alias("__first"))
+    prompts = pairs.groupBy("__p").agg(F.min("__first.ord").alias("__prompt_first"))
+    rows = hashed.join(pairs.join(prompts, "__p"), ["__p", "__t"])
+    rows = rows.withColumns({"duplicate": F.col(ord) > F.col("__first.ord"), "first_source": F.col("__first.source")})
+    return rows.withColumn("prompt_seen", ~F.col("duplicate") & (F.col(ord) > F.col("__prompt_first"))).drop("__p", "__t", "__first", "__prompt_first")
 
 
 def cross_source_report(examples: DataFrame, ord: str = "ord") -> DataFrame:

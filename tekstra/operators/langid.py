@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,14 @@ UNSEEN = math.log(1 / 1e9)
 MARGIN = 0.5
 
 
+def letters(text: Column) -> Column:
+    """What trigrams are taken of: [a-z0-9 ], single spaces, none at the ends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "), " +", " "))
+
+
 def trigrams(text: Column) -> Column:
     """Overlapping trigrams of [a-z0-9 ]; a lookahead finds them in one pass."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "), " +", " "))
-    return F.regexp_extract_all(s, F.lit("(?=(...))"), 1)
+    return F.regexp_extract_all(letters(text), F.lit("(?=(...))"), 1)
 
 
 def training_rows(docs: DataFrame, ord: str, lang: str, per_language: int, source: str | None = None) -> DataFrame:
@@ -33,28 +39,50 @@ def profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFra
     return counts.join(totals, "plang").select("plang", "gram", F.log((F.col("c") + 1) / (F.col("total") + F.col("v") + 1)).alias("logp"))
 
 
-def scores(docs: DataFrame, profile: DataFrame, ord: str, text: str = "text") -> DataFrame:
-    """Ord, plang, score: the mean log-probability of a document's trigrams; documents without any don't appear.
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+_PLACE = np.zeros(256, np.int64)
+_PLACE[list(SIGNS.encode())] = range(len(SIGNS))
+
+
+def places(grams: np.ndarray) -> np.ndarray:
+    """Numbers of the trigrams of a row of bytes, in 0..37 ** 3."""
+    c, n = _PLACE[grams], len(SIGNS)
+    return (c[:-2] * n + c[1:-1]) * n + c[2:]
+
 
-    A gram's row holds the log-probabilities of all languages as a map, so the join neither repeats a
-    gram per language nor loses unseen ones. Profiles are bounded by the alphabet: 37 ** 3 grams.
+def with_scores(docs: DataFrame, profile: DataFrame, text: str = "text", out: str = "scores") -> tuple[list[str], DataFrame]:
+    """The languages, and the rows with an array of the mean log-probability of their trigrams in each; null without trigrams.
+
+    A profile has 37 ** 3 grams a language at most, so all of them are one dense table of 400 kB a language
+    that goes to the tasks; rows are scored where they are and nothing is shuffled.
     """
-    grams = docs.select(F.col(ord).alias("__ord"), F.explode(trigrams(F.col(text))).alias("gram")).groupBy("__ord", "gram").agg(F.count("*").alias("c"))
-    langs = profile.select("plang").distinct()
-    by_gram = profile.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("plang", "logp"))).alias("p"))
-    known = [r["plang"] for r in langs.collect()]
-    joined = grams.join(F.broadcast(by_gram), "gram", "left")
-    sums = joined.groupBy("__ord").agg(F.sum("c").alias("n"), *(F.sum(F.col("c") * F.coalesce(F.try_element_at("p", F.lit(x)), F.lit(UNSEEN))).alias(f"__s{i}") for i, x in enumerate(known)))
-    entries = F.array(*(F.struct(F.lit(x).alias("plang"), (F.col(f"__s{i}") / F.col("n")).alias("score")) for i, x in enumerate(known)))
-    return sums.select(F.col("__ord").alias(ord), F.explode(entries).alias("e")).select(ord, "e.plang", "e.score")
+    rows = profile.collect()
+    langs = sorted({r["plang"] for r in rows})
+    table = np.full((len(langs), len(SIGNS) ** 3), UNSEEN)
+    for r in rows:
+        table[langs.index(r["plang"]), places(np.frombuffer(r["gram"].encode(), np.uint8))[0]] = r["logp"]
+
+    @F.arrow_udf("array<double>")
+    def mean(texts: pa.Array) -> pa.Array:
+        found = [table[:, places(np.frombuffer(x.encode(), np.uint8))].mean(axis=1) if x and len(x) > 2 else None for x in texts.to_pylist()]
+        return pa.array(found, pa.list_(pa.float64()))
+
+    return langs, docs.withColumn(out, mean(letters(F.col(text))))
+
+
+def scores(docs: DataFrame, profile: DataFrame, ord: str, text: str = "text") -> DataFrame:
+    """Ord, plang, score; documents without any trigram don't appear."""
+    langs, rows = with_scores(docs.select(ord, text), profile, text, "__s")
+    rows = rows.where("__s IS NOT NULL").select(ord, F.posexplode("__s").alias("__at", "score"))
+    return rows.select(ord, F.get(F.array(*map(F.lit, langs)), F.col("__at")).alias("plang"), "score")
 
 
-def predicted(scored: DataFrame, ord: str, order: list[str] | None = None) -> DataFrame:
-    """Ord, pred, margin. Ties go to the language fitted first (``order``, else by name)."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col("plang")) if order else F.col("plang")
-    ranked = scored.groupBy(ord).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), place.alias("place"), "plang"))).alias("r"))
-    second = F.get("r", F.lit(1))["neg"]
-    return ranked.select(ord, F.get("r", F.lit(0))["plang"].alias("pred"), F.coalesce(second - F.get("r", F.lit(0))["neg"], F.lit(0.0)).alias("margin"))
+def best(langs: list[str], scored: Column, order: list[str] | None) -> Column:
+    """P9, P10 in a row: struct of pred and margin (null without scores). Ties go to the language fitted first (``order``, else by name)."""
+    place = [order.index(x) if order and x in order else len(order or ()) + k for k, x in enumerate(langs)]
+    ranked = F.sort_array(F.transform(scored, lambda s, i: F.struct((-s).alias("neg"), F.get(F.array(*map(F.lit, place)), i).alias("place"), F.get(F.array(*map(F.lit, langs)), i).alias("plang"))))
+    pick = lambda r: F.struct(F.get(r, F.lit(0))["plang"].alias("pred"), F.coalesce(F.get(r, F.lit(1))["neg"] - F.get(r, F.lit(0))["neg"], F.lit(0.0)).alias("margin"))
+    return F.when(scored.isNotNull(), F.get(F.transform(F.array(ranked), pick), F.lit(0)))
 
 
 def wrong_language(pred: Column, lang: Column, margin: Column) -> Column:
@@ -64,6 +92,7 @@ def wrong_language(pred: Column, lang: Column, margin: Column) -> Column:
 
 def gate(docs: DataFrame, profile: DataFrame, ord: str, first: str, lang: str = "lang", text: str = "text", order: list[str] | None = None) -> DataFrame:
     """Adds pred, margin, wrong_language. Documents without trigrams get the language fitted first and a margin of NaN."""
-    found = predicted(scores(docs, profile, ord, text), ord, order)
-    out = docs.join(found, ord, "left").withColumns({"pred": F.coalesce("pred", F.lit(first)), "margin": F.coalesce("margin", F.lit(float("nan")))})
-    return out.withColumn("wrong_language", wrong_language(F.col("pred"), F.col(lang), F.col("margin")))
+    langs, rows = with_scores(docs, profile, text, "__scores")
+    rows = rows.withColumn("__best", best(langs, F.col("__scores"), order))
+    rows = rows.withColumns({"pred": F.coalesce("__best.pred", F.lit(first)), "margin": F.coalesce("__best.margin", F.lit(float("nan")))}).drop("__scores", "__best")
+    return rows.withColumn("wrong_language", wrong_language(F.col("pred"), F.col(lang), F.col("margin")))

@@ -46,6 +46,18 @@ def epoch_order(rows: DataFrame, seed: int, epoch: int, *keys: str) -> DataFrame
     return rows.withColumn("order_key", seeded(seed, F.lit(str(epoch)), *keys))
 
 
+def epoch_places(rows: DataFrame, seed: int, epoch: int, key: str, a_slice: int = 500_000) -> DataFrame:
+    """Adds place (from 1), a row's number in the epoch's order. The order is by a hash, so slices by its first digits are even; their number follows that of the rows."""
+    ordered = epoch_order(rows, seed, epoch, key)
+    digits = max(2, math.ceil(math.log(max(1, rows.count() / a_slice), 16)))
+    ordered = ordered.withColumn("__slice", F.substring("order_key", 1, digits))
+    sizes = ordered.groupBy("__slice").agg(F.count("*").alias("n"))
+    # One row a slice.
+    before = sizes.select("__slice", F.coalesce(F.sum("n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__slice").orderBy("order_key", key))
+    return ordered.withColumn("__inside", inside).join(before, "__slice").withColumn("place", F.col("__before") + F.col("__inside")).drop("__slice", "__before", "__inside", "order_key")
+
+
 def kept_logits(rows: DataFrame, logits: str, temperature: float, top_k: int | None, top_p: float | None, out: str = "ids") -> DataFrame:
     """Adds the ids that sampling may draw, likeliest first: the k largest, ties kept, and of those the ones before which at most top_p of the probability lies.
 

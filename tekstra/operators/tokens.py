@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.search import numbers_upto
+
 #: Ids of the special tokens, and the label that masks.
 UNK, PAD, BOS, EOS, SYSTEM, USER, ASSISTANT, MASK = 0, 1, 2, 3, 4, 5, 6, -100
 SPECIALS = 7
@@ -121,14 +123,15 @@ def trimmed_reply(ids: Column, markers: list[int]) -> Column:
     return F.when(first > 0, F.slice(ids, F.lit(1), (first - 1).cast("int"))).otherwise(ids)
 
 
-def running_sum(rows: DataFrame, key: str, ord: str, value: str, runs: int = 64) -> DataFrame:
-    """Adds upto, the running sum of ``value`` by ``key`` in the order of ``ord``, without one window over a whole key.
+def running_sum(rows: DataFrame, key: str, ord: str, value: str, a_run: int = 500_000) -> DataFrame:
+    """Adds upto, the running sum of ``value`` by ``key`` in the order of ``ord`` (a number, unique in a key), without one window over a whole key.
 
-    Orders are cut at quantiles into runs; sums inside runs and sums of runs before add up.
+    Orders are cut at quantiles into runs of some ``a_run`` rows, eight at least; sums inside runs and
+    sums of runs before add up. The number of runs follows that of the rows, so no task's share grows.
     """
-    cuts = rows.agg(F.percentile_approx(ord, [i / runs for i in range(1, runs)], 10_000)).first()[0] or []
-    bounds = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    rows = rows.withColumn("__run", F.size(F.filter(bounds, lambda b: b <= F.col(ord))))
+    runs = max(8, rows.count() // a_run + 1)
+    cuts = rows.agg(F.percentile_approx(ord, [i / runs for i in range(1, runs)], max(10_000, 20 * runs))).first()[0] or []
+    rows = rows.withColumn("__run", numbers_upto(sorted(set(cuts)), ord))
     sums = rows.groupBy(key, "__run").agg(F.sum(value).alias("s"))
     before = sums.withColumn("__before", F.coalesce(F.sum("s").over(Window.partitionBy(key).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
     inside = F.sum(value).over(Window.partitionBy(key, "__run").orderBy(ord).rowsBetween(Window.unboundedPreceding, 0))
@@ -191,3 +194,14 @@ def text_to_stream(rows: DataFrame, encode, ord: str, text: str = "text", bos: b
     lines = rows.select(F.col(ord), F.posexplode(F.split(text, "\n")).alias("line", "t")).withColumn("t", F.regexp_replace("t", "(?U)^\\s+|\\s+$", "")).where("t <> ''")
     parts = ([ints(BOS)] if bos else []) + [encode(F.col("t"))] + ([ints(EOS)] if eos else [])
     return lines.select(ord, F.col("line").cast("long").alias("line"), F.concat(*parts).alias("ids"))
+
+
+def unknown_target(examples: DataFrame, encode) -> DataFrame:
+    """P25: adds target_unk, whether the target holds a token that the tokenizer doesn't know."""
+    return examples.withColumn("target_unk", F.array_contains(encode(F.element_at("turns", -1)["text"]), UNK))
+
+
+def special_ids(meta: dict) -> dict[str, int]:
+    """The ids of the special tokens by name, as a tokenizer's metadata give them; those that it lacks have these fixed values."""
+    defaults = {"pad": 0, "bos": 1, "eos": 2, "unk": 3, "system": 4, "user": 5, "assistant": 6}
+    return {name: meta.get(f"{name}_id", default) for name, default in defaults.items()}
