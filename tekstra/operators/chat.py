@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import stored
 
 MAX_TARGETS = 4
 
@@ -72,7 +73,7 @@ def content_id(prefix: Column, *parts: Column) -> Column:
 
 def aya_reason(code: Column, kind: Column) -> Column:
     """Why a row is not taken; "" if it is."""
-    code, kind = F.lower(F.trim(F.coalesce(code, F.lit("")))), F.trim(F.coalesce(kind, F.lit("")))
+    code, kind = F.lower(T.stripped(code)), T.stripped(kind)
     return F.when(~code.isin("eng", "fil"), "other_language").when(kind == "original-annotations", "").when(F.contains(F.lower(kind), F.lit("re")), "re-annotations").otherwise("other_annotation_type")
 
 
@@ -94,13 +95,13 @@ def human_reason(lang: Column, synthetic: Column, model: Column, deleted: Column
 
 def dolly_reason(instruction: Column, response: Column) -> Column:
     """P21; context isn't looked at."""
-    i, r = (F.trim(F.coalesce(c, F.lit(""))) for c in (instruction, response))
+    i, r = map(T.stripped, (instruction, response))
     return F.when((i == "") & (r == ""), "empty_both").when(i == "", "empty_instruction").when(r == "", "empty_response").when(T.is_corrupted(i) | T.is_corrupted(r), "corrupt_unicode").otherwise("")
 
 
 def taskmaster_reason(utterances: Column) -> Column:
     """P22, but for repeated ids: speakers are known by name, others dropped; both must speak."""
-    said = lambda who: F.exists(utterances, lambda u: F.lower(F.trim(u["speaker"])) == who)
+    said = lambda who: F.exists(utterances, lambda u: F.lower(T.stripped(u["speaker"])) == who)
     return F.when(F.coalesce(F.size(utterances), F.lit(0)) <= 0, "no_utterances").when(~said("user"), "no_user").when(~said("assistant"), "no_assistant").otherwise("")
 
 
@@ -114,9 +115,14 @@ def turn_reason(turns: Column, aya_english: Column) -> Column:
 # ---------------------------------------------------------------- builders
 
 
+def carried(rows: DataFrame) -> list[str]:
+    """The order of rows, where they have one, goes along with what is built of them."""
+    return ["ord"] if "ord" in rows.columns else []
+
+
 def aya_examples(rows: DataFrame) -> DataFrame:
     """T1."""
-    return rows.select("id", F.lit("aya").alias("source"), F.col("language_code").alias("lang"), F.array(turn("user", T.tidy("inputs")), turn("assistant", T.tidy("targets"))).alias("turns"), train_or_val("id").alias("split"))
+    return rows.select(*carried(rows), "id", F.lit("aya").alias("source"), F.col("language_code").alias("lang"), F.array(turn("user", T.tidy("inputs")), turn("assistant", T.tidy("targets"))).alias("turns"), train_or_val("id").alias("split"))
 
 
 def dolly_examples(rows: DataFrame) -> DataFrame:
@@ -124,7 +130,7 @@ def dolly_examples(rows: DataFrame) -> DataFrame:
     prompt, context, target = T.tidy("instruction"), T.tidy("context"), T.tidy("response")
     rows = rows.withColumns({"__p": prompt, "__c": context, "__t": target}).where("__p <> '' AND __t <> ''")
     whole = F.when(F.col("__c") != "", F.concat("__p", F.lit("\n\n"), "__c")).otherwise(F.col("__p"))
-    return rows.select("id", F.lit("dolly").alias("source"), F.lit("en").alias("lang"), F.coalesce("category", F.lit("")).alias("category"), F.array(turn("user", whole), turn("assistant", F.col("__t"))).alias("turns"), train_or_val("id").alias("split"))
+    return rows.select(*carried(rows), "id", F.lit("dolly").alias("source"), F.lit("en").alias("lang"), F.coalesce("category", F.lit("")).alias("category"), F.array(turn("user", whole), turn("assistant", F.col("__t"))).alias("turns"), train_or_val("id").alias("split"))
 
 
 def chosen_targets(n: Column) -> Column:
@@ -157,37 +163,44 @@ def tidy_utterances(rows: DataFrame, conv: str = "conv_id", ord: str = "turn", r
 
 
 def best_replies(messages: DataFrame) -> DataFrame:
-    """Of each parent's assistant messages the one of least rank (none last), then least id."""
+    """Of each parent's assistant messages the one of least rank (none last), then least id; its order is that of the parent's first."""
     key = F.struct(F.coalesce(F.col("rank").cast("long"), F.lit((1 << 62))), "message_id")
-    best = messages.where("role = 'assistant'").groupBy("parent_id").agg(F.min_by("message_id", key).alias("message_id"))
-    return messages.join(best.select("message_id"), "message_id", "left_semi")
+    first = [F.min("ord").alias("ord")] if "ord" in messages.columns else []
+    best = messages.where("role = 'assistant'").groupBy("parent_id").agg(F.min_by("message_id", key).alias("message_id"), *first).drop("parent_id")
+    return messages.drop("ord").join(best, "message_id").select(messages.columns)
 
 
-def forest_examples(messages: DataFrame, max_depth: int = 200) -> DataFrame:
-    """Of each best reply the path from its root; a parent that isn't there ends the path.
+def ancestors(messages: DataFrame, key: str = "message_id", parent: str = "parent_id") -> DataFrame:
+    """Key and path, the keys from its root down to itself; a parent that isn't there ends the path.
 
-    All paths climb one step a round, by an equi-join on the parent; a finished path leaves the loop.
+    Paths double: each round joins every unfinished path to that of its top's parent, so a chain of n
+    messages takes log2(n) rounds, each a stored table. A cycle of parents is an error.
     """
-    nodes = messages.select(F.col("message_id").alias("up"), F.col("parent_id").alias("next"), F.struct("role", T.tidy("text").alias("text")).alias("t"))
-    paths = best_replies(messages).select("message_id", "message_tree_id", "split", F.col("parent_id").alias("up"), F.array(F.struct("role", T.tidy("text").alias("text"))).alias("path"))
-    done = None
-    for _ in range(max_depth):
-        step = paths.join(nodes, "up", "left")
-        ended = step.where("t IS NULL").select("message_id", "message_tree_id", "split", "path")
-        done = ended if done is None else done.unionByName(ended)
-        paths = cut(step.where("t IS NOT NULL").select("message_id", "message_tree_id", "split", F.col("next").alias("up"), F.concat(F.array("t"), "path").alias("path")))
-        if paths.isEmpty():
-            break
-    else:
+    nodes = messages.select(F.col(key).alias("id"), F.col(parent).alias("up"))
+    known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("__known"))
+    rows = nodes.join(known, "up", "left").select("id", F.when(F.col("__known"), F.col("up")).alias("up"), F.array("id").alias("path"))
+    rows = stored(rows)
+    while not rows.where("up IS NOT NULL").isEmpty():
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("__next"), F.col("path").alias("__above"))
+        more = rows.where("up IS NOT NULL").join(above, "up").select("id", F.col("__next").alias("up"), F.concat("__above", "path").alias("path"))
+        if not more.where(F.col("up").isNotNull() & F.array_contains("path", F.col("up"))).isEmpty():
+            raise RuntimeError("messages are their own ancestors")
+        rows = stored(rows.where("up IS NULL").unionByName(more))
+    return rows.select(F.col("id").alias(key), "path")
+
+
+def forest_examples(messages: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Of each best reply the path from its root, of any depth. max_depth: an error if a path is longer."""
+    best = best_replies(messages).select("message_id", "message_tree_id", "split", *carried(messages))
+    paths = stored(best.join(ancestors(messages), "message_id"))
+    if max_depth is not None and not paths.where(F.size("path") > max_depth).isEmpty():
         raise RuntimeError(f"reply chains deeper than {max_depth}")
-    roles = F.transform("path", lambda t: F.struct(F.when(t["role"] == "prompter", "user").otherwise("assistant").alias("role"), t["text"].alias("text")))
-    out = done.withColumn("turns", roles).where("turns[0].role = 'user'")
-    return out.select(F.concat(F.lit("oasst-"), "message_id").alias("id"), F.lit("oasst1").alias("source"), F.lit("en").alias("lang"), F.col("message_tree_id").alias("tree_id"), "turns", F.when(F.col("split") == "validation", "val").otherwise("train").alias("split"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage where the session has a checkpoint folder."""
-    return df if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+    said = messages.select(F.col("message_id").alias("__id"), F.when(F.col("role") == "prompter", "user").otherwise("assistant").alias("role"), T.tidy("text").alias("text"))
+    steps = paths.select("message_id", F.posexplode("path").alias("at", "__id")).join(said, "__id")
+    turns = steps.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("t"))
+    turns = turns.select("message_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    out = paths.join(turns, "message_id").where("turns[0].role = 'user'")
+    return out.select(*carried(messages), F.concat(F.lit("oasst-"), "message_id").alias("id"), F.lit("oasst1").alias("source"), F.lit("en").alias("lang"), F.col("message_tree_id").alias("tree_id"), "turns", F.when(F.col("split") == "validation", "val").otherwise("train").alias("split"))
 
 
 # ---------------------------------------------------------------- held-out prompts, leakage, weights

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -208,12 +208,12 @@ def p16(spark, sf_dir):
     return p.select("doc_id", T.english_hits("a").cast("long").alias("hits"), T.looks_english("a", "b").alias("looks_english"))
 
 
-@query("p24_probes", f"""WITH {CONV_SQL}, p AS (SELECT DISTINCT lower({TIDY_SQL.format('text')}) AS t FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations WHERE turn = 0 AND conv_id % 7 = 0)),
+@query("p24_probes", f"""WITH {CONV_SQL}, p AS (SELECT DISTINCT lower({TIDY_SQL.format('text')}) AS t FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations WHERE turn = 0 AND length(text) < 80)),
     hit AS (SELECT DISTINCT ex_id FROM (SELECT ex_id, unnest(turns) AS y FROM ok) WHERE y.speaker = 'user' AND lower(y.text) IN (SELECT t FROM p))
     SELECT ok.ex_id, hit.ex_id IS NOT NULL AS probe FROM ok LEFT JOIN hit ON hit.ex_id = ok.ex_id""")
 def p24(spark, sf_dir):
-    """Probes: the benchmark, and the first turns of every seventh conversation, so that some examples are hit."""
-    probes = table(spark, sf_dir, "benchmark").select("text").unionByName(table(spark, sf_dir, "conversations").where("turn = 0 AND conv_id % 7 = 0").select("text"))
+    """Probes: the benchmark, and short first turns, as held-out prompts are; so some examples are hit."""
+    probes = table(spark, sf_dir, "benchmark").select("text").unionByName(table(spark, sf_dir, "conversations").where("turn = 0 AND length(text) < 80").select("text"))
     rows = examples(spark, sf_dir)
     hits = chat.probe_hits(rows, probes, "ex_id").withColumn("hit", F.lit(True))
     return rows.select("ex_id").join(hits, "ex_id", "left").select("ex_id", F.coalesce("hit", F.lit(False)).alias("probe"))
@@ -251,20 +251,6 @@ def d8(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", chat.content_id(F.concat(F.lit("aya-"), "lang", F.lit("-")), F.col("lang"), a, b).alias("id"))
 
 
-@query(
-    "d9_cross_source",
-    """WITH e AS (SELECT doc_id AS ord, source, lower(substr(text, 1, 2)) AS prompt, lower(substr(text, 3, 1)) AS target FROM documents),
-    f AS (SELECT *, row_number() OVER w > 1 AS dup, first_value(source) OVER w AS fs FROM e WINDOW w AS (PARTITION BY prompt, target ORDER BY ord)),
-    k AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY ord) > 1 AS seen FROM f WHERE NOT dup),
-    r AS (SELECT 'rejected_duplicates' AS kind FROM f WHERE dup UNION ALL SELECT 'dup_pair_' || CASE WHEN fs = source THEN fs ELSE least(fs, source) || '|' || greatest(fs, source) END FROM f WHERE dup UNION ALL SELECT 'kept' FROM k UNION ALL SELECT 'prompt_only_duplicates' FROM k WHERE seen)
-    SELECT kind, count(*) AS n FROM r GROUP BY kind""",
-)
-def d9(spark, sf_dir):
-    """Prompt and target: the first characters of documents, so that pairs collide across sources."""
-    e = documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), "source", F.lower(F.substring("text", 1, 2)).alias("prompt"), F.lower(F.substring("text", 3, 1)).alias("target"))
-    return dedup.cross_source_report(e)
-
-
 @query(
     "d9_cross_source_whole",
     """WITH p AS (SELECT doc_id, source, text, regexp_extract(text, '^[^\\n]*') AS line FROM documents),
@@ -305,12 +291,7 @@ def d16(spark, sf_dir):
 
 @query("d17_epoch_order", "SELECT doc_id, row_number() OVER (ORDER BY sha256('1:3:' || doc_id)) AS place FROM documents")
 def d17(spark, sf_dir):
-    rows = sampling.epoch_order(documents(spark, sf_dir).select("doc_id"), 1, 3, "doc_id")
-    head = rows.withColumn("__slice", F.substring("order_key", 1, 2))
-    sizes = head.groupBy("__slice").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("__slice").orderBy("order_key"))
-    return head.withColumn("rn", place).join(before, "__slice").select("doc_id", (F.col("before") + F.col("rn")).alias("place"))
+    return sampling.epoch_places(documents(spark, sf_dir).select("doc_id"), 1, 3, "doc_id").select("doc_id", "place")
 
 
 # ---------------------------------------------------------------- tokens
@@ -426,9 +407,22 @@ def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.sampling_weights(rows)[1]
 
 
-@query("d12_sampling_weights")
+@query(
+    "d12_sampling_weights",
+    f"""WITH RECURSIVE {CONV_SQL},{TOKEN_SQL.format(block=TOKEN_BLOCK)},
+    g0 AS (SELECT CASE WHEN conv % 10 = 0 THEN 'fil' ELSE 'en' END AS lang, ['aya', 'oasst1', 'dolly', 'taskmaster1', 'taskmaster1'][conv % 5 + 1] AS source, n_supervised FROM tok WHERE NOT too_long),
+    t0 AS (SELECT source, lang, sum(n_supervised)::BIGINT AS tokens FROM g0 GROUP BY ALL),
+    e0 AS (SELECT list(source ORDER BY source) AS s, list(tokens::DOUBLE ORDER BY source) AS n FROM t0 WHERE lang = 'en'),
+    w0 AS (SELECT 0 AS it, s, n, list_transform(n, lambda x: 1.0::DOUBLE) AS w FROM e0
+      UNION ALL SELECT it + 1, s, n, list_transform(w, lambda x, i: CASE WHEN i = top THEN x ELSE x * have[top] / greatest(1.0, total - have[top]) END)
+      FROM (SELECT *, list_position(have, list_max(have)) AS top, list_sum(have) AS total FROM (SELECT *, list_transform(w, lambda x, i: x * n[i]) AS have FROM w0)) WHERE it < 10 AND have[top] / greatest(1.0, total) > 0.5),
+    l0 AS (SELECT *, list_sum(list_transform(w, lambda x, i: x * n[i])) AS effective FROM w0 ORDER BY it DESC LIMIT 1),
+    f0 AS (SELECT l0.*, least(4.0, greatest(1.0, 0.15 / 0.85 * effective / (SELECT sum(tokens) FROM t0 WHERE lang = 'fil'))) AS fil FROM l0),
+    x0 AS (SELECT source, lang, tokens, coalesce(w[list_position(s, source)], 1.0) * CASE WHEN lang = 'fil' THEN fil ELSE 1.0 END AS v FROM t0, f0)
+    SELECT source, lang, round(v, 4) AS weight, greatest(1, round_even(v, 0))::BIGINT AS copies, tokens FROM x0""",
+)
 def d12(spark, sf_dir):
-    return weighted(spark, sf_dir).groupBy("source", "lang").agg(F.max("weight").alias("weight"), F.max("copies").alias("copies"), F.sum("n_supervised").alias("tokens"))
+    return weighted(spark, sf_dir).groupBy("source", "lang").agg(F.max("weight").alias("weight"), F.max("copies").alias("copies"), F.sum("n_supervised").cast("long").alias("tokens"))
 
 
 @query(
@@ -481,7 +475,15 @@ def a11(spark, sf_dir):
     return rows.select("conv_id", "turn", "repetition", "g.*")
 
 
-@query("a13_a14_reply_report")
+@query(
+    "a13_a14_reply_report",
+    f"""WITH r AS (SELECT text, CASE WHEN conv_id % 2 = 0 THEN 'eng' ELSE 'fil' END AS lang, list_concat({ENC_SQL.format('text')}, [3]) AS ids, regexp_extract_all(lower(text), '\\S+') AS w, regexp_extract_all(lower(text), '[a-z'']+') AS e FROM conversations WHERE role = 'assistant'),
+    m AS (SELECT *, CASE WHEN len(w) < 3 THEN 0.0 ELSE 1 - list_unique(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) / (len(w) - 1) END AS rep, len(list_filter(ids, lambda v: v IN (1, 2, 4, 5, 6))) > 0 AS leak,
+      CASE WHEN len(e) = 0 THEN 'unknown' WHEN len(list_filter(e, lambda x: list_contains([{", ".join(f"'{w}'" for w in T.FILIPINO_WORDS)}], x))) / len(e) >= 0.25 THEN 'fil' ELSE 'eng' END AS guess FROM r)
+    SELECT count(*) AS n_responses, round(count_if(len(ids) = 0) / count(*), 4) AS empty_response_rate, round(count_if(ids[-1] = 3) / count(*), 4) AS eos_termination_rate, round(count_if(leak) / count(*), 4) AS role_token_leakage_rate,
+    round(sum(len(list_filter(ids, lambda v: v = 0))) / sum(len(ids)), 6) AS unk_rate, round(sum(length(text) - length(replace(text, '�', ''))) / sum(length(text)), 6) AS replacement_char_rate, round(sum(len(ids)) / count(*), 2) AS mean_response_tokens,
+    round(sum(rep) / count(*), 4) AS mean_repetition_score, round(count_if(lang = 'fil' AND guess = 'fil') / count(*), 4) AS fil_prompts_answered_in_fil, round(count_if(lang = 'eng' AND guess = 'eng') / count(*), 4) AS eng_prompts_answered_in_eng FROM m""",
+)
 def a14(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     rows = rows.select("text", F.when(F.col("conv_id") % 2 == 0, "eng").otherwise("fil").alias("prompt_lang"), F.concat(encode(F.col("text")), tokens.ints(3)).alias("ids"))
@@ -513,3 +515,6 @@ def top(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaning plan's counters."""
     return cleaning.counters(cleaning.cleaned(documents(spark, sf_dir)))
+
+
+from . import registry_chat, registry_sources  # noqa: E402, F401  (their queries register themselves)

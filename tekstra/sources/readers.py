@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -34,6 +36,16 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, SOURCE_RECORD)
 
 
+def metadata(spark: SparkSession, path: str, required: bool = False) -> dict:
+    """A JSON object from any store; {} if there is no such path, unless it is required."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        if required:
+            raise FileNotFoundError(f"required metadata are missing: {path}")
+        return {}
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
 def unknown_records(new: DataFrame, known: DataFrame) -> DataFrame:
     """Records whose source isn't in the manifest yet."""
     return new.join(known.select("source_name"), "source_name", "left_anti")
@@ -108,5 +120,6 @@ def dialog_splits(dialogs: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def first_of_id(rows: DataFrame, key: str, ord: str) -> DataFrame:
-    """Of repeated ids the first row."""
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(ord))).where("__rn = 1").drop("__rn")
+    """Of repeated ids the first row; an aggregated minimum that is joined back, so a hot id is no window."""
+    firsts = rows.groupBy(key).agg(F.min(ord).alias("__first"))
+    return rows.join(firsts, key).where(F.col(ord) == F.col("__first")).drop("__first")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -29,25 +30,45 @@ def write_corpus_text(docs: DataFrame, path: str, ord: str, languages: list[str]
     return n, chars
 
 
+def corpus_text_hash(spark: SparkSession, path: str) -> str:
+    """K4: SHA-256 of the corpus text, its parts in order."""
+    return hash_of_all(spark, f"{path}/part-*")
+
+
+#: Bytes of tokens in a row of a token table, and in a range that one task writes.
+PART_BYTES, RANGE_BYTES = 32 << 20, 256 << 20
+
+
 def write_token_binary(rows: DataFrame, path: str, ord: str, ids: str = "ids", files: int | None = None) -> DataFrame:
-    """Writes each range of ``ord`` as bytes of 16-bit tokens, into a table (part, tokens, sha256, content), and returns its summary.
+    """Writes the tokens in the order of ``ord`` (a number) as bytes of 16-bit tokens, into a table (part, tokens, sha256, content), and returns its summary.
 
-    Parts in order make the stream; ``join_parts`` puts them into one file where one is wanted.
+    A task takes a range of the order, of RANGE_BYTES where ``files`` doesn't say how many, and writes rows
+    of PART_BYTES and less than one document more. Parts in order make the stream; ``join_parts`` puts
+    them into one file where one is wanted.
     """
-    ranged = rows.select(F.col(ord).alias("o"), F.col(ids).alias("ids"))
-    ranged = (ranged.repartitionByRange(files, "o") if files else ranged.repartitionByRange("o")).sortWithinPartitions("o")
+    ranged = rows.select(F.col(ord).cast("long").alias("o"), F.col(ids).alias("ids"))
+    if files is None:
+        files = 2 * (ranged.agg(F.sum(F.size("ids"))).first()[0] or 0) // RANGE_BYTES + 1
 
     def run(batches):
-        first, parts = None, []
+        first, parts, size = None, [], 0
+
+        def part():
+            content = b"".join(parts)
+            return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([len(content) // 2], pa.int64()), pa.array([hashlib.sha256(content).hexdigest()]), pa.array([content], pa.binary())], names=["part", "tokens", "sha256", "content"])
+
         for batch in batches:
-            if batch.num_rows:
-                first = batch.column(0)[0].as_py() if first is None else first
-                parts.append(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<u2").tobytes())
+            for o, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                first = o if first is None else first
+                parts.append(tokens.values.to_numpy(zero_copy_only=False).astype("<u2").tobytes() if len(tokens) else b"")
+                size += len(parts[-1])
+                if size >= PART_BYTES:
+                    yield part()
+                    first, parts, size = None, [], 0
         if first is not None:
-            content = b"".join(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([len(content) // 2], pa.int64()), pa.array([hashlib.sha256(content).hexdigest()]), pa.array([content], pa.binary())], names=["part", "tokens", "sha256", "content"])
+            yield part()
 
-    ranged.select(F.col("o").cast("long").alias("o"), "ids").mapInArrow(run, "part long, tokens long, sha256 string, content binary").write.parquet(path)
+    ranged.repartitionByRange(files, "o").sortWithinPartitions("o").mapInArrow(run, "part long, tokens long, sha256 string, content binary").write.parquet(path)
     return rows.sparkSession.read.parquet(path).select("part", "tokens", "sha256")
 
 
@@ -83,6 +104,12 @@ def sources_page(records: DataFrame, ord: str) -> str:
     return "\n".join([PAGE_HEAD, *(r.cells for r in rows), "", "## URLs", "", *(r.link for r in rows), ""])
 
 
+def disk_usage(spark: SparkSession, *paths: str) -> DataFrame:
+    """A3: path, files and bytes of each folder, with all that is under it but hidden files; no content is read."""
+    one = lambda p: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).select(F.lit(p).alias("path"), "files", "bytes")
+    return functools.reduce(DataFrame.unionByName, map(one, paths))
+
+
 #: Fixed value: how the page begins.
 PAGE_HEAD = """# Corpus Sources and Licensing
 

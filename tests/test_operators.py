@@ -172,6 +172,77 @@ def test_forest_loses_no_deep_chain_silently(spark):
         chat.forest_examples(df, 3)
 
 
+def test_forest_of_any_depth_in_few_rounds(spark):
+    n = 1000
+    rows = [(f"m{k}", f"m{k - 1}" if k else None, "t", "assistant" if k % 2 else "prompter", None, f"text {k}", "train") for k in range(n)]
+    df = spark.createDataFrame(rows, "message_id string, parent_id string, message_tree_id string, role string, rank int, text string, split string").repartition(3)
+    found = {r.id: r.turns for r in chat.forest_examples(df.where("message_id <> 'm500'")).collect()}
+    assert len(found) == 250 and [t.text for t in found["oasst-m499"]] == [f"text {k}" for k in range(500)]  # what follows the gap begins with an assistant
+    deep = {r.message_id: r.path for r in chat.ancestors(df).collect()}
+    assert deep["m999"] == [f"m{k}" for k in range(n)] and deep["m0"] == ["m0"]
+    loop = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("d", None)], "message_id string, parent_id string")
+    with pytest.raises(RuntimeError, match="own ancestors"):
+        chat.ancestors(loop)
+
+
+def test_running_sums_and_epoch_places_over_many_runs(spark):
+    rows = spark.range(2000).select(F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.lit(7)).alias("k"), (F.col("id") % 5 + 1).alias("n"))
+    got = {r.i: r.upto for r in tokens.running_sum(rows, "k", "i", "n", a_run=9).collect()}
+    sums = Counter()
+    for r in rows.orderBy("i").collect():
+        sums[r.k] += r.n
+        assert got[r.i] == sums[r.k]
+    places = sampling.epoch_places(rows.select("i"), 3, 1, "i", a_slice=2).collect()
+    order = [r.i for r in sampling.epoch_order(rows.select("i"), 3, 1, "i").orderBy("order_key").collect()]
+    assert [r.i for r in sorted(places, key=lambda r: r.place)] == order and sorted(r.place for r in places) == list(range(1, 2001))
+
+
+def test_chat_build(spark):
+    from tekstra.plans import chat_build
+
+    turns = "array<struct<role:string,text:string>>"
+    good = [("user", "what is the sun and why"), ("assistant", "it is a star")]
+    rows = [
+        (0, "aya", "eng", "train", good, "final"),
+        (1, "dolly", "en", "train", good, "duplicate"),
+        (2, "dolly", "en", "train", [("user", "what is the sun and why"), ("assistant", "a star")], "final"),
+        (3, "aya", "eng", "val", [("user", "wax baan kuu sheegi doonaa"), ("assistant", "waa wax aad u wanaagsan oo ku")], "aya_mislabeled"),
+        (4, "oasst1", "en", "train", [("user", "held out?"), ("assistant", "yes it is")], "eval_probe"),
+        (5, "oasst1", "en", "train", [("user", "and now"), ("assistant", "é")], "target_unk"),
+        (6, "oasst1", "en", "train", [("user", "and now"), ("assistant", "so it goes on and on " * 9)], "too_long"),
+        (7, "oasst1", "en", "train", [("user", ""), ("assistant", "x")], "empty"),
+        (8, "oasst1", "en", "val", [("user", "a first turn that is long " * 5), ("assistant", "well"), ("user", "so"), ("assistant", "yes")], "final"),
+    ]
+    df = spark.createDataFrame([(i, str(i), s, lang, split, t) for i, s, lang, split, t, _ in rows], f"n long, id string, source string, lang string, split string, turns {turns}").withColumn("ord", F.struct("n")).drop("n")
+    out = chat_build.built(df, spark.createDataFrame([("HELD  out?",)], "text string"), encode, 90)
+    assert {int(r.id): r.outcome for r in out.collect()} == {i: o for i, *_, o in rows}
+    n = {r.stage: r.n for r in chat_build.attrition(out).collect()}
+    assert n == {"aya_examples": 2, "dolly_examples": 2, "oasst1_examples": 5, "rejected_aya_mislabeled": 1, "rejected_empty": 1, "after_quality": 7, "rejected_duplicates": 1, "dup_pair_aya|dolly": 1, "after_dedup": 6, "prompt_only_duplicates": 2, "rejected_eval_probes": 1, "after_probe_exclusion": 5, "rejected_target_unk": 1, "rejected_too_long": 1, "final_examples": 3, "dropped_oldest_turns": 1}
+    train = {r.id: r for r in chat_build.train_rows(out).collect()}
+    assert set(train) == {"0", "2"} and all(r.copies >= 1 and r.n_supervised == len(r.turns[-1].text) + 1 for r in train.values())
+
+
+def test_guards_and_metadata(spark, tmp_path):
+    from tekstra.operators import guards
+    from tekstra.sources import readers
+
+    guards.retention_factors(1.1, 1.15)
+    guards.replay_source("data/train.bin")
+    guards.free_folder(spark, str(tmp_path))
+    guards.within_limits(26 << 30, 1)
+    config = {"vocab_size": 8000, "pad_id": 1, "bos_id": 2, "eos_id": 3, "unk_id": 0}
+    guards.matching_config(config, {"tokenizer_vocab_size": 8000, "special_token_ids": {"pad": 1}}, {"vocab_size": 8000, "unk_id": 0})
+    (tmp_path / "best.pt").write_text("x")
+    for f, *args in [(guards.retention_factors, 1.2, 1.1), (guards.retention_factors, 0, 1), (guards.replay_source, "x/test.bin"), (guards.free_folder, spark, str(tmp_path)), (guards.within_limits, 1, 1), (guards.within_limits, 26 << 30, 9 << 30), (guards.matching_config, config, {"special_token_ids": {"eos": 4}}, {}), (guards.matching_config, config, {}, {"vocab_size": 1})]:
+        with pytest.raises(ValueError):
+            f(*args)
+    (tmp_path / "m.json").write_text('{\n"pad_id": 9, "x": [1]}')
+    assert readers.metadata(spark, str(tmp_path / "m.json")) == {"pad_id": 9, "x": [1]} and readers.metadata(spark, str(tmp_path / "no")) == {}
+    with pytest.raises(FileNotFoundError):
+        readers.metadata(spark, str(tmp_path / "no"), required=True)
+    assert tokens.special_ids({"pad_id": 9}) == {"pad": 9, "bos": 1, "eos": 2, "unk": 3, "system": 4, "user": 5, "assistant": 6}
+
+
 def test_builders_and_filters(spark):
     aya = spark.createDataFrame([("a1", "eng", " what  is\nit ", "x")], "id string, language_code string, inputs string, targets string")
     assert [tuple(t) for t in chat.aya_examples(aya).first().turns] == [("user", "what is it"), ("assistant", "x")]

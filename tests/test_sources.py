@@ -78,6 +78,69 @@ def test_hashes_corpus_text_and_records(spark, tmp_path):
     assert readers.unknown_records(found, found).count() == 0
 
 
+def test_token_rows_are_bounded_and_the_corpus_text_has_a_hash(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "PART_BYTES", 20)
+    monkeypatch.setattr(sinks, "RANGE_BYTES", 100)
+    rows = spark.range(40).select(F.col("id").alias("o"), F.transform(F.sequence(F.lit(0), (F.col("id") % 4).cast("int")), lambda k: (F.col("id") + k).cast("int")).alias("ids"))
+    parts = sinks.write_token_binary(rows, str(tmp_path / "t"), "o").collect()
+    assert max(r.tokens for r in parts) < 14 and len(parts) > 8
+    sinks.join_parts(spark, str(tmp_path / "t"), str(tmp_path / "all.bin"))
+    assert (tmp_path / "all.bin").read_bytes() == b"".join(struct.pack("<H", i + k) for i in range(40) for k in range(i % 4 + 1))
+    docs = spark.createDataFrame([(2, "two", "tl"), (1, "óne", "en")], "i long, text string, lang string")
+    sinks.write_corpus_text(docs, str(tmp_path / "c"), "i", ["en", "tl"])
+    assert sinks.corpus_text_hash(spark, str(tmp_path / "c")) == hashlib.sha256("óne\n\ntwo\n\n".encode()).hexdigest()
+    (tmp_path / "u" / "v").mkdir(parents=True)
+    (tmp_path / "u" / "a").write_bytes(b"abc")
+    (tmp_path / "u" / "v" / "b").write_bytes(b"de")
+    assert [tuple(r)[1:] for r in sinks.disk_usage(spark, str(tmp_path / "u"), str(tmp_path / "c")).collect()] == [(2, 5), (len(list((tmp_path / "c").glob("part*"))), 11)]
+
+
+def test_chat_sources(spark, tmp_path):
+    from tekstra.sources import chat_sources as c
+
+    write = lambda name, rows: (tmp_path / name).write_text("\n".join(json.dumps(r) for r in rows)) and str(tmp_path / name)
+    path = write("aya.jsonl", [{"language_code": " ENG", "annotation_type": "original-annotations", "inputs": "a", "targets": "b"}, {"language_code": "fra", "annotation_type": "original-annotations"}, {"language_code": "fil", "annotation_type": "Re-annotations", "inputs": "x"}])
+    rows = c.aya(c.scan(spark, path, c.AYA)).collect()
+    assert [r.reason for r in rows] == ["", "other_language", "re-annotations"] and rows[0].id == "aya-eng-" + hashlib.sha256(b"eng|a|b").hexdigest()[:24]
+    labels = [["spam"], {"toxicity": {"value": 1}}, {"quality": {"spam": 1}}, 0, None, ["humor"]]
+    path = write("m.jsonl", [{"message_id": str(i), "role": "prompter", "lang": "en", "text": "t", "labels": x, "rank": i} for i, x in enumerate(labels)])
+    assert [(r.reason, r.split) for r in c.messages(c.scan(spark, path, c.MESSAGES), "train").collect()] == [("labels", "train"), ("labels", "train")] + [("", "train")] * 4
+    path = write("d.jsonl", [{"instruction": "\n do\u00a0", "context": None, "response": " r"}, {"instruction": " \n", "response": "r"}])
+    assert [(r.reason, r.instruction, r.context, r.category) for r in c.dolly(c.scan(spark, path, c.DOLLY)).collect()] == [("", "do", "", ""), ("empty_instruction", "", "", "")]
+    u = lambda *x: [{"index": i, "speaker": who, "text": t} for i, (who, t) in enumerate(x)]
+    (tmp_path / "tm.json").write_text(json.dumps([{"conversation_id": "self-1", "utterances": u(("USER ", " hi "), ("robot", "x"), ("assistant", "yes"))}, {"conversation_id": "self-1", "utterances": u(("user", "second"))}, {"conversation_id": "w2", "domain": "d", "utterances": u(("user", "only"))}, {"conversation_id": "w3", "utterances": []}]))
+    for name, ids in (("train", ["self-1", "w2"]), ("dev", ["w2"]), ("test", [])):
+        (tmp_path / "lists").mkdir(exist_ok=True)
+        (tmp_path / "lists" / f"{name}.csv").write_text("\n".join(["id,x", *(f"{i} ,1" for i in ids)]))
+    rows = {r.id: r for r in c.dialogs(c.scan(spark, str(tmp_path / "tm.json"), c.DIALOGS, array=True), c.split_lists(spark, str(tmp_path / "lists"))).collect()}
+    assert [(rows[k].reason, rows[k].split, rows[k].file, rows[k].domain) for k in ("self-1", "w2")] == [("", "train", "self", ""), ("no_assistant", "val", "woz", "d")] and rows["w3"].reason == "no_utterances"
+    assert [tuple(x)[1:] for x in rows["self-1"].utterances] == [("user", "hi"), ("assistant", "yes")]
+
+
+def test_shared_folder_is_never_one_machine_s_own_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tekstra.sources import shared
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared.shared(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master=master)))
+
+
+def test_spread_moves_small_tables_alone(spark, tmp_path):
+    from tekstra.sources.spread import spread
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "small"))
+    assert spread(spark.read.parquet(str(tmp_path / "small"))).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50")
+        assert "Repartition" not in spread(spark.read.parquet(str(tmp_path / "small")))._jdf.queryExecution().logical().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_dialog_splits(spark):
     d = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     lists = spark.createDataFrame([("a", "train"), ("a", "dev"), ("b", "train")], "id string, list string")
