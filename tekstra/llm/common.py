@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import gc
-import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import _STORED, forget, shared, stored
+
+__all__ = ["_STORED", "forget", "shared", "stored"]
+
 #: Rows and text bytes that one Arrow batch brings to Python at most (a single longer text still comes whole).
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
-_STORED: list[str] = []
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -47,20 +48,6 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def bounds_upto(bounds: list[tuple[int, int]], first: str, second: str) -> Column:
-    """How many of the sorted bounds are at or before (first, second): halving steps over one constant of the plan, whatever their number."""
-    known = F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in bounds])), "array<struct<a:bigint,b:bigint>>")
-    key = F.struct(F.col(first).alias("a"), F.col(second).alias("b"))
-    steps = F.array(*(F.lit(1 << p) for p in range(len(bounds).bit_length(), -1, -1)))
-    return F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.get(known, acc + step - 1) <= key, acc + step).otherwise(acc))
-
-
-def bound_at(bounds: list[tuple[int, int]], place: Column, first: str, second: str) -> Column:
-    """Whether (first, second) is the bound at that place (from 0)."""
-    known = F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in bounds])), "array<struct<a:bigint,b:bigint>>")
-    return F.coalesce(F.get(known, place) == F.struct(F.col(first).alias("a"), F.col(second).alias("b")), F.lit(False))
-
-
 _CACHES: dict[str, Callable[[], None]] = {}
 
 
@@ -70,33 +57,3 @@ def claim(name: str, clear: Callable[[], None]) -> None:
         _CACHES.pop(other)()
         gc.collect()
     _CACHES[name] = clear
-
-
-def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    context = spark.sparkContext
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="tekstra-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it again: later stages survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared(spark)}/tekstra-{uuid.uuid4().hex}"
-    _STORED.append(path)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession) -> None:
-    """Deletes the tables that this process has stored; results that were made of them must be written by then."""
-    while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,8 +8,11 @@ registers, corrected for their chance collisions, sifts candidates, and the full
 
 No pair inside a known component is ever looked at: first each bucket's members are held against its
 most central node alone (the one whose own buckets are fullest); then only buckets that still span
-several components are compared, block by block, a pair in its first shared band only. There a bitmap
-of each set gives a bound that no intersection exceeds, so that few pairs that are no links go on.
+several components are compared, a pair in its first shared band only. There the members outside the
+bucket's largest component go against each other and against that component, block by block; the
+largest one never goes against itself, so a stranger in a bucket costs as many pairs as the bucket has
+members. A bitmap of each set gives a bound that no intersection exceeds, so that few pairs that are no
+links go on. Texts are fetched only for pairs that sizes and sketches leave over.
 
 With 32 bands of 4, a link of similarity 0.8 shares no band with probability 5e-8, and falls under
 the sieve (0.6) with probability 1e-8; more similar ones are missed less.
@@ -111,12 +114,12 @@ def bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def with_bitmap(rows: DataFrame) -> DataFrame:
+def with_bitmap(rows: DataFrame, words: int = WORDS) -> DataFrame:
     def make():
         claim("near", word_hashes.cache_clear)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bits = pa.array([bitmap(shingles(x)) for x in batch.column(3).to_pylist()], pa.binary())
+            bits = pa.array([bitmap(shingles(x, words)) for x in batch.column(3).to_pylist()], pa.binary())
             return pa.RecordBatch.from_arrays([*batch.columns, bits], names=[*batch.schema.names, "bits"])
 
         return each
@@ -124,7 +127,7 @@ def with_bitmap(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("node", "n", "bands", "raw"), make, "node binary, n long, bands array<long>, raw binary, bits binary")
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """id (LAST for null), text_hash, n_shingles, node (the set's 128-bit hash; null for an empty set), bands."""
 
     def make():
@@ -133,7 +136,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, node, bands = [], [], []
             for raw in batch.column(2).to_pylist():
-                s = shingles(raw)
+                s = shingles(raw, words)
                 n.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bands.append(registers(s).view(np.int64) if len(s) else None)
@@ -150,24 +153,41 @@ def row_key(key: str, text: str) -> list:
     return [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")]
 
 
-def verified(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links: sifted by the estimate, confirmed on full sets."""
-    sides = {s: near.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "bands", "raw"))) for s in ("a", "b")}
-    rows = pairs.join(sides["b"], "b").join(sides["a"], "a").select("a", "b", "n_a", "n_b", "bands_a", "bands_b", "raw_a", "raw_b")
+def sifted(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes, and whose estimate from the sketches, leave a link possible. No text is read."""
+    side = {s: near.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bands").alias(f"bands_{s}")) for s in ("a", "b")}
+    rows = pairs.join(side["b"], "b").join(side["a"], "a").where(100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "bands_a", "bands_b")
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            x, y = (batch.column(i).flatten().to_numpy().reshape(len(n), BANDS).view(np.uint16) for i in (4, 5))
+            share, low = (x == y).mean(axis=1) if len(n) else np.empty(0), SIMILARITY / 100 - MARGIN
+            # The correction only lowers the share.
+            keep = [bool(s >= low) and (s - (c := chance(int(p), int(q)))) / (1 - c) >= low for s, p, q in zip(share.tolist(), n, m, strict=True)]
+            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return each
+
+    return map_batches(rows, make, "a binary, b binary")
+
+
+def verified(pairs: DataFrame, near: DataFrame, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b) that are links: sifted by size and estimate, confirmed on full sets."""
+    side = {s: near.select(F.col("node").alias(s), F.col("raw").alias(f"raw_{s}")) for s in ("a", "b")}
+    rows = sifted(pairs, near).join(side["b"], "b").join(side["a"], "a").select("a", "b", "raw_a", "raw_b")
 
     def make():
         claim("near", word_hashes.cache_clear)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             last, sa, keep = None, None, []
-            for a, n, m, x, y, ra, rb in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7)), strict=True):
-                ok = 100 * min(n, m) >= SIMILARITY * max(n, m) and estimate(np.array(x).view(np.uint16), np.array(y).view(np.uint16), n, m) >= SIMILARITY / 100 - MARGIN
-                if ok:
-                    if a != last:
-                        last, sa = a, shingles(ra)
-                    both = len(np.intersect1d(sa, shingles(rb), assume_unique=True))
-                    ok = 100 * both >= SIMILARITY * (n + m - both)
-                keep.append(ok)
+            for a, ra, rb in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if a != last:
+                    last, sa = a, shingles(ra, words)
+                sb = shingles(rb, words)
+                both = len(np.intersect1d(sa, sb, assume_unique=True))
+                keep.append(100 * both >= SIMILARITY * (len(sa) + len(sb) - both))
             return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return each
@@ -199,16 +219,28 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def open_blocks(members: DataFrame, near: DataFrame, comps: DataFrame) -> DataFrame:
+    """What ``compare`` takes: of the buckets that still span several components the members, in each pair of blocks (i, j) that is compared.
+
+    Blocks below ``others`` hold members outside the bucket's largest component; they are paired with
+    all blocks, those of the largest component with these alone.
+    """
+    labelled = members.drop("size").join(comps, "node", "left").select("band", "value", "node", F.coalesce("comp", "node").alias("comp"))
+    held = labelled.groupBy("band", "value", "comp").agg(F.count("*").alias("c"))
+    spans = held.groupBy("band", "value").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("size")).where("size > main.c")
+    spans = spans.select("band", "value", F.col("main.comp").alias("main"), F.ceil((F.col("size") - F.col("main.c")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("main.c") / BLOCK).cast("int").alias("mains"))
+    rows = labelled.join(spans, ["band", "value"])
+    place = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    outside = F.col("comp") != F.col("main")
+    rows = rows.withColumn("own", F.when(outside, place("others")).otherwise(F.col("others") + place("mains")))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(outside, F.col("mains")).otherwise(0))))
+    rows = rows.select("band", "value", "node", "comp", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    return rows.join(near.select("node", "n", "bands", "bits"), "node")
+
+
 def open_pairs(members: DataFrame, near: DataFrame, comps: DataFrame) -> DataFrame:
     """Candidate pairs across components, from the buckets that still span several: each pair once, in its first shared band."""
-    labelled = members.drop("size").join(comps, "node", "left").select("band", "value", "node", F.coalesce("comp", "node").alias("comp"))
-    spans = labelled.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "value", "size")
-    rows = labelled.join(spans, ["band", "value"]).join(near.select("node", "n", "bands", "bits"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "size")
-    return rows.groupBy("band", "value", "i", "j").applyInArrow(compare, "a binary, b binary")
+    return open_blocks(members, near, comps).groupBy("band", "value", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def compare(group: pa.Table) -> pa.Table:
@@ -248,17 +280,18 @@ def compare(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["a", "b"])
 
 
-def memberships(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def memberships(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """id, text_hash, n_shingles, component, alone, comp: one row for each row. The component is the smallest id reachable over links.
 
     Several components may have one smallest id, by null or repeated ids; comp is a component's own key (null where alone).
 
+    words: the length of a shingle; fewer words make one shingle of all. Malformed UTF-8 reads as U+FFFD.
     Null or empty text: no shingles, linked with nothing, a component of its own. A null id counts as
     larger than any (LAST). Repeated rows share a node and so a component. Rows of one id but different
     texts are different nodes. An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
-    rows = stored(sketches(docs, key, text))
+    rows = stored(sketches(docs, key, text, words))
     nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     shared = banded.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
@@ -267,11 +300,11 @@ def memberships(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     pivots = members.join(weights, "node").groupBy("band", "value").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
     chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "bands", "row.id", "row.text_hash")
     near = docs.select(*row_key(key, text), utf8(text).alias("raw")).join(chosen, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
-    near = stored(with_bitmap(near))
+    near = stored(with_bitmap(near, words))
     stars = members.join(pivots, ["band", "value"]).where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(verified(stars, near))
+    links = stored(verified(stars, near, words))
     comps = components(links)
-    more = verified(stored(open_pairs(members, near, comps)), near)
+    more = verified(stored(open_pairs(members, near, comps)), near, words)
     # What is one component already needs no second look: the rest of the links join components.
     label = {s: comps.select(F.col("node").alias(s), F.col("comp").alias(f"comp_{s}")) for s in ("a", "b")}
     joined = more.join(label["a"], "a", "left").join(label["b"], "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
@@ -282,9 +315,9 @@ def memberships(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return rows.join(labelled, "node", "left").select("id", "text_hash", "n_shingles", F.coalesce("component", "id").alias("component"), F.col("node").isNull().alias("alone"), "comp")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """The rows that stay, with all their columns: of each component the row of least (id, text hash), once; all rows without words stay."""
-    found = memberships(docs, key, text)
+    found = memberships(docs, key, text, words)
     firsts = found.where("not alone").groupBy("comp").agg(F.min(F.struct("id", "text_hash")).alias("row")).select("row.*").unionByName(found.where("alone").select("id", "text_hash").distinct())
     a, b = row_key(key, text)
     own = docs.withColumns({"__tekstra_id": a, "__tekstra_hash": b})

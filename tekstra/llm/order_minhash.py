@@ -16,15 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_at, bounds_upto, stored
+from ..functions.search import pair_at, pairs_upto
+from .common import stored
 
 K, L, BUCKET_BITS = 3, 2, 5
 BUCKETS = 1 << BUCKET_BITS
 POSITION = 28
 HASH = 64 - POSITION
 PLACES = (1 << POSITION) - 1
-#: Documents, and bytes of text, in a run of consecutive rows that one task windows over, on average at most; samples for each run's bounds.
-RUN, RUN_BYTES, SAMPLES = 32_000, 64 << 20, 40
+#: Documents, and bytes of text, in a run of consecutive rows that one task windows over, on average; runs at most (beyond that they grow: a task streams its run); samples for each run's bounds.
+RUN, RUN_BYTES, MAX_RUNS, SAMPLES = 8_000, 16 << 20, 100_000, 40
 FIRST = -(1 << 63)
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -133,8 +134,8 @@ def in_runs(rows: DataFrame, bounds: list[tuple[int, int]], least: tuple[int, in
     at_start = (F.col("id") == F.lit(least[0])) & (F.col("tie") == F.lit(least[1]))
     own = F.struct(F.col("run"), F.lit(False).alias("guest"))
     before = F.struct(F.when(at_start, F.lit(len(bounds))).otherwise(F.col("run") - 1).alias("run"), F.lit(True).alias("guest"))
-    first = at_start | bound_at(bounds, F.col("run") - 1, "id", "tie")
-    rows = rows.withColumn("run", bounds_upto(bounds, "id", "tie")).withColumn("at", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
+    first = at_start | pair_at(bounds, F.col("run") - 1, "id", "tie")
+    rows = rows.withColumn("run", pairs_upto(bounds, "id", "tie")).withColumn("at", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
     return rows.drop("run").withColumns({"run": F.col("at.run"), "guest": F.col("at.guest")}).drop("at").repartitionById(len(bounds) + 1, "run")
 
 
@@ -155,7 +156,7 @@ def op8(docs: DataFrame) -> DataFrame:
         again = keys.where("n > 1").select("id", "tie")
         many = rows.join(again, ["id", "tie"], "left_semi").groupBy("id", "tie").agg(F.min("text").alias("text"), F.count("*").alias("n"))
         rows = rows.join(again, ["id", "tie"], "left_anti").withColumn("n", F.lit(1).cast("long")).unionByName(many)
-    parts = max(n // RUN + 1, total // RUN_BYTES + 1, min(n // 64 + 1, 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    parts = min(MAX_RUNS, max(n // RUN + 1, total // RUN_BYTES + 1, min(n // 64 + 1, 2 * docs.sparkSession.sparkContext.defaultParallelism)))
     # The text's own fingerprint before rows move, where the tables' splits balance the work; the edited text's after.
     rows = in_runs(with_fingerprint(rows, {"text": "a"}), run_bounds(keys, n, total, parts), least)
     order = Window.partitionBy("run").orderBy("guest", "id", "tie")

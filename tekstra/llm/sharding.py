@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounds_upto, stored
+from ..functions.search import pairs_upto
+from .common import stored
 
 SHARDS = 8
 #: Ranges for each shard at least, records in a range at most (on average), samples for each range, times the mean at which a range is overfull.
@@ -61,7 +62,7 @@ def boundaries(drawn: list[tuple[int, int, float]], a_range: float) -> list[tupl
 
 
 def ranged(rows: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    return rows.withColumn("range", bounds_upto(bounds, "h", "tie"))
+    return rows.withColumn("range", pairs_upto(bounds, "h", "tie"))
 
 
 def assigned(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:

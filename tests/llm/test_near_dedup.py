@@ -1,17 +1,18 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tekstra.llm import near_dedup as nd
 
 
-def brute(rows):
+def brute(rows, words=2):
     """doc_id -> (size, component) by comparing all pairs that share a shingle."""
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
-        sets.append(frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)]) if w else frozenset())
+        sets.append(frozenset(zip(*(w[k:] for k in range(words)))) if len(w) >= words else frozenset([tuple(w)]) if w else frozenset())
     up = list(range(len(rows)))
 
     def root(i):
@@ -54,6 +55,39 @@ def test_odd_rows(odd_docs, no_docs):
     assert nd.op10(no_docs).count() == 0 and nd.deduplicated(no_docs).count() == 0
 
 
+def test_five_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(d, c) for d, _, c in brute([(r.doc_id, r.text) for r in docs.collect()], 5)}
+    assert {(r.id, r.component) for r in nd.memberships(docs, words=5).collect()} == want
+    assert {r.doc_id for r in nd.deduplicated(docs, words=5).collect()} == {c for _, c in want}
+
+
+def test_a_stranger_in_a_large_bucket_costs_as_many_pairs_as_it_has_members(spark, monkeypatch):
+    n = 20_000
+    node = F.unhex(F.lpad(F.hex("id"), 16, "0"))
+    members = spark.range(n + 1).select(node.alias("node"), F.lit(0).alias("band"), F.lit(7).cast("long").alias("value"), F.lit(n + 1).alias("size"))
+    near = members.select("node", F.lit(9).cast("long").alias("n"), F.array_repeat(F.lit(1).cast("long"), nd.BANDS).alias("bands"), F.repeat(F.lit("x"), nd.BITS // 8).cast("binary").alias("bits"))
+    comps = spark.range(n).select(node.alias("node"), F.unhex(F.lit("00" * 8)).alias("comp"))  # the last one is a stranger
+    blocks = nd.open_blocks(members, near, comps).groupBy("i", "j").agg(F.count_if(F.col("own") == F.col("i")).alias("x"), F.count_if(F.col("own") == F.col("j")).alias("y")).collect()
+    assert sum(b.x * b.y for b in blocks) < 1_000_000
+    assert sum(b.x + b.y for b in blocks) < 2 * n
+    # Every pair of nodes in different components stands in exactly one pair of blocks.
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    comps = spark.range(20).select(node.alias("node"), F.unhex(F.lpad(F.hex(F.pmod("id", F.lit(4)) * F.when(F.col("id") < 12, 0).otherwise(1)), 16, "0")).alias("comp"))
+    rows = nd.open_blocks(members.limit(24), near.limit(24), comps).collect()
+    groups, comp = defaultdict(list), {}
+    for r in rows:
+        groups[r.i, r.j].append(r)
+        comp[bytes(r.node)] = bytes(r.comp)
+    seen = Counter()
+    for (i, j), held in groups.items():
+        for x in held:
+            for y in held:
+                if x.own == i and y.own == j and x.comp != y.comp and (i != j or x.node < y.node):
+                    seen[frozenset([bytes(x.node), bytes(y.node)])] += 1
+    assert seen == {frozenset([x, y]): 1 for x in comp for y in comp if x < y and comp[x] != comp[y]}
+
+
 def families(n, seed=5):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]

@@ -16,7 +16,7 @@ def test_rows_equal_brute_force(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     docs = [r for r in docs if quality_rules.measure(r["text"].encode(), r["lang"])[6]]
-    component = {d: c for d, _, c in brute([(r["doc_id"], r["text"]) for r in docs])}
+    component = {d: c for d, _, c in brute([(r["doc_id"], r["text"]) for r in docs], 5)}
     docs = [r for r in docs if component[r["doc_id"]] == r["doc_id"]]
     for r in docs:
         r["text"] = pii.redacted_text(r["text"], pii.scanned(pii.trained(), [r["text"]])[0][1])
