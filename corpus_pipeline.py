@@ -3,17 +3,17 @@
 Quality rules drop what they reject; of each near-duplicate group one document stays; personal data is
 replaced in the texts; documents are replicated to the sources' target weights and shuffled; the copies
 are encoded. All stages but the last return the columns of ``documents``.
+
+Near duplicates are judged by sets of five words; op10's contract asks for two in its own query.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tekstra.llm import bpe, mixing, near_dedup, pii, quality_rules
-from tekstra.llm.common import shared
+from tekstra.sources.shared import forget, new_path, stored_since
 from tekstra.sources.spread import table
 
 
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.deduplicated(docs)
+    return near_dedup.deduplicated(docs, words=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's table, and what it stored on the way, is deleted when the next stage is written; the last one stays for the caller."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        path = f"{shared(spark)}/pipeline-{uuid.uuid4().hex}"
+        mark, path = stored_since(), new_path(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        old = [x for x in stored_since(mark) if x != path] + ([before] if before else [])
+        if old:
+            forget(spark, *old)
+        before = path
     return docs
