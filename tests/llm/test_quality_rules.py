@@ -67,3 +67,50 @@ def test_small_caches_do_not_change_results(monkeypatch):
     monkeypatch.setattr(q, "MAX_WORDS", 3)
     q.fertility.cache_clear()
     assert q.measure(text, "en") == want == q.measure(text, "en")
+
+
+def plain(text, lang):
+    """The method's measures and its verdict, word by word from the vocabularies themselves."""
+    import math
+    import re
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    from tekstra.llm import bpe
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    multi = tiktoken.Encoding("m", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+
+    def measure(text, lang):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        if not words:
+            return None, None, None, None, None, False
+        ids = [i for w in words for i in pieces.encode(w)]
+        n_multi = sum(len(multi.encode_ordinary(" " + w)) for w in words)
+        chars = sum(map(len, words)) + len(words)
+        counts = Counter(ids)
+        entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts.values())
+        share = sum(pieces.IsByte(i) for i in ids) / len(ids)
+        letters = Counter(q.script_of(c) for c in text if q.script_of(c))
+        key = lang if lang in q.BANDS else "latin" if text.isascii() else min(letters, key=lambda k: (-letters[k], k)) if letters else "any"
+        a, b, c, d, ratio, most, low, high = q.BANDS[key]
+        x, y = chars / n_multi, chars / len(ids)
+        kept = a <= x <= b and c <= y <= d and x >= ratio * y and share <= most and min(low, 0.6 * math.log2(len(ids))) <= entropy <= high
+        return x, y, share, entropy, key, kept
+
+    return measure(text, lang) if lang is not Ellipsis else measure
+
+
+def test_measures_and_verdict_equal_the_plain_way(spark, odd_docs):
+    measure = plain(None, ...)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").unionByName(odd_docs.select("doc_id", "text", "lang"))
+    more = ["Съешь же ещё этих мягких французских булок да выпей чаю " * 9, "日本語のテキストです 漢字と仮名 " * 20, "ᚠᚢᚦ ᚨᚱᚲ ᚷᚹᚺ " * 30, "$% #* && " * 40, "12 34 5678 " * 30]
+    docs = docs.unionByName(spark.createDataFrame([(1000 + i, t, None) for i, t in enumerate(more)], "doc_id long, text string, lang string"))
+    want = Counter()
+    for r in docs.collect():
+        *x, kept = measure(r.text, r.lang)
+        want[r.doc_id, *(round(v, 9) if isinstance(v, float) else v for v in x), kept and not base(r.text)[5]] += 1
+    found = Counter((r.doc_id, *(round(v, 9) if isinstance(v, float) else v for v in (r.chars_per_token, r.chars_per_piece, r.byte_share, r.token_entropy, r.band)), r.kept) for r in q.op9(docs).collect())
+    assert found == want and len({b for _, *_, b, _ in found}) > 5
