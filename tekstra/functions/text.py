@@ -57,6 +57,11 @@ def composed(x: Column | str) -> Column:
     return _composed(x, "[^\\x00-\\x7F]")
 
 
+def characters(x: Column) -> Column:
+    """The code points of a text, one string each."""
+    return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ""))
+
+
 def stripped(x: Column | str) -> Column:
     """Without white space at the ends; null gives ""."""
     return F.regexp_replace(F.coalesce(col(x), F.lit("")), BLANK_ENDS, "")
@@ -75,8 +80,10 @@ def normalized(x: Column | str) -> Column:
     """NFC, character references, no control characters or byte-order marks, white space collapsed, empty lines dropped."""
     x = _composed_unescaped(x, "[^\\x00-\\x7F]|&")
     x = F.regexp_replace(x, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\uFEFF]", "")
-    each = F.transform(lines(x), lambda ln: F.regexp_replace(F.regexp_replace(ln, "[ \\t\\u00A0\\u2000-\\u200B]+", " "), BLANK_ENDS, ""))
-    return F.array_join(F.filter(each, lambda ln: ln != ""), "\n")
+    x = F.regexp_replace(F.regexp_replace(x, "[ \\t\\u00A0\\u2000-\\u200B]+", " "), LINE_END, "\n")
+    # White space around line ends, blank lines with it: only where a run of it begins, so long runs cost no more than their length.
+    x = F.regexp_replace(x, "(?U)(?<!\\s)[\\s&&[^\\n]]*+\\n\\s*+", "\n")
+    return F.regexp_replace(x, BLANK_ENDS, "")
 
 
 def without_tags(x: Column | str) -> Column:
@@ -193,10 +200,15 @@ def is_corrupted(x: Column | str) -> Column:
 def is_pathological(x: Column | str) -> Column:
     """A run of 15 of one character that is no space, or one that is half of ten characters or more."""
     x = col(x)
-    chars = F.filter(F.regexp_extract_all(x, F.lit("(?s)."), 0), lambda c: ~c.rlike("(?U)^\\s$"))
-    # The most frequent character by sorting: equal ones lie together, so one of rank r has an equal one r places before.
+    chars = characters(F.regexp_replace(x, "(?U)\\s+", ""))
     half = F.ceil(F.length(x) / 2).cast("int")
-    most = F.exists(F.transform(F.array(F.array_sort(chars)), lambda s: F.exists(F.transform(s, lambda c, i: c == F.get(s, i - half + 1)), lambda same: F.coalesce(same, F.lit(False)))), lambda b: b)
+
+    def fills_half(s: Column) -> Column:
+        """s: sorted. A run of half of the text's length covers one of the two places in the middle of as many."""
+        reaches = lambda c: F.coalesce(F.get(s, F.array_position(s, c).cast("int") + half - 2) == c, F.lit(False))
+        return reaches(F.get(s, half - 1)) | reaches(F.get(s, half))
+
+    most = let(F.sort_array(chars), fills_half)
     return F.when(F.length(x) < 2, F.lit(False)).otherwise(x.rlike("(?U)([^\\s])\\1{14,}") | ((F.length(x) >= 10) & most))
 
 

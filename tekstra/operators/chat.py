@@ -159,7 +159,7 @@ def conversation_examples(conversations: DataFrame) -> DataFrame:
 def tidy_utterances(rows: DataFrame, conv: str = "conv_id", ord: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Conversations (id, utterances) from one row a turn; roles other than user and assistant are dropped. A conversation is a bounded group."""
     rows = rows.where(F.lower(F.trim(role)).isin("user", "assistant")).select(F.col(conv).alias("id"), F.col(ord).alias("o"), F.lower(F.trim(role)).alias("speaker"), T.tidy(text).alias("text"))
-    return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("o", "speaker", "text"))).alias("u")).select("id", F.transform("u", lambda u: F.struct(u["speaker"].alias("speaker"), u["text"].alias("text"))).alias("utterances"))
+    return rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("o", "speaker", "text"))).alias("u")).select("id", F.transform("u", lambda u: F.struct(u["speaker"].alias("speaker"), u["text"].alias("text"))).alias("utterances"))
 
 
 def best_replies(messages: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def forest_examples(messages: DataFrame, max_depth: int | None = None) -> DataFr
         raise RuntimeError(f"reply chains deeper than {max_depth}")
     said = messages.select(F.col("message_id").alias("__id"), F.when(F.col("role") == "prompter", "user").otherwise("assistant").alias("role"), T.tidy("text").alias("text"))
     steps = paths.select("message_id", F.posexplode("path").alias("at", "__id")).join(said, "__id")
-    turns = steps.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("t"))
+    turns = steps.groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("t"))
     turns = turns.select("message_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     out = paths.join(turns, "message_id").where("turns[0].role = 'user'")
     return out.select(*carried(messages), F.concat(F.lit("oasst-"), "message_id").alias("id"), F.lit("oasst1").alias("source"), F.lit("en").alias("lang"), F.col("message_tree_id").alias("tree_id"), "turns", F.when(F.col("split") == "validation", "val").otherwise("train").alias("split"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import blake2b_signature
+from ..sources.shared import stored
 
 SIGNATURE, SHARED, SHINGLE, MAX_CHARS = 12, 8, 5, 250_000
 
@@ -50,12 +51,12 @@ def near_duplicates(docs: DataFrame, ord: str, text: str = "text", algorithm: st
     """Adds near_dup, true where eight entries or more of the signature stand in signatures before.
 
     A signature counts as seen whether or not its document is kept; so "seen before" is "the first
-    document with that hash comes before", an aggregation and a join. Both use one shuffle of the
-    entries by hash, so signatures are computed once.
+    document with that hash comes before", an aggregation and a join. Signatures are a stored table, so
+    they are computed once. Minima combine before they are shuffled, and the join is one that AQE splits
+    where a shingle is in a third of all documents.
     """
-    signed = with_signature(docs.select(F.col(ord).alias("__ord"), F.col(text).alias("__t")), "__t", algorithm, "s")
-    # Not explode: the filter that it infers on the array would compute it again, inside its own lambda.
-    entries = signed.select("__ord", F.explode_outer("s").alias("h")).where("h IS NOT NULL").repartition("h")
+    signed = stored(with_signature(docs.select(F.col(ord).alias("__ord"), F.col(text).alias("__t")), "__t", algorithm, "s").select("__ord", "s"))
+    entries = signed.select("__ord", F.explode("s").alias("h"))
     firsts = entries.groupBy("h").agg(F.min("__ord").alias("first"))
     shared = entries.join(firsts, "h").where(F.col("first") < F.col("__ord")).groupBy("__ord").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
     flagged = shared.select(F.col("__ord").alias(ord), F.lit(True).alias("__near"))
@@ -80,6 +81,6 @@ def cross_source(examples: DataFrame, ord: str = "ord") -> DataFrame:
 def cross_source_report(examples: DataFrame, ord: str = "ord") -> DataFrame:
     """D9's counters: kind, n."""
     flagged = cross_source(examples, ord)
-    sources = F.array_join(F.array_sort(F.array_distinct(F.array("first_source", "source"))), "|")
+    sources = F.array_join(F.sort_array(F.array_distinct(F.array("first_source", "source"))), "|")
     kinds = F.when(F.col("duplicate"), F.array(F.lit("rejected_duplicates"), F.concat(F.lit("dup_pair_"), sources))).when(F.col("prompt_seen"), F.array(F.lit("kept"), F.lit("prompt_only_duplicates"))).otherwise(F.array(F.lit("kept")))
     return flagged.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))

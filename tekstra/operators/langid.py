@@ -24,12 +24,15 @@ def trigrams(text: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, ord: str, lang: str, per_language: int, source: str | None = None) -> DataFrame:
-    """Of each language, and each source of it, the first rows; per_language is shared evenly by sources."""
+    """Of each language, and each source of it, the first rows; per_language is shared evenly by sources.
+
+    The bound on the row number is a constant, so tasks drop what is beyond it before rows are shuffled.
+    """
     if source is None:
         return docs.withColumn("__rn", F.row_number().over(Window.partitionBy(lang).orderBy(ord))).where(F.col("__rn") <= per_language).drop("__rn")
     n = docs.groupBy(lang).agg(F.count_distinct(source).alias("__n"))
     rn = F.row_number().over(Window.partitionBy(lang, source).orderBy(ord))
-    return docs.withColumn("__rn", rn).join(n, lang).where(F.col("__rn") <= F.floor(F.lit(per_language) / F.greatest("__n", F.lit(1)))).drop("__rn", "__n")
+    return docs.withColumn("__rn", rn).where(F.col("__rn") <= per_language).join(n, lang).where(F.col("__rn") <= F.floor(F.lit(per_language) / F.greatest("__n", F.lit(1)))).drop("__rn", "__n")
 
 
 def profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:

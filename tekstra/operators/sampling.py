@@ -64,7 +64,7 @@ def kept_logits(rows: DataFrame, logits: str, temperature: float, top_k: int | N
     What a lambda looks into is a column of its own, so that nothing is computed anew for each element.
     """
     entries = F.transform(F.col(logits).cast("array<double>"), lambda x, i: F.struct((-x / (temperature or 1.0)).alias("neg"), i.alias("id")))
-    rows = rows.withColumn("__o", F.array_sort(entries))
+    rows = rows.withColumn("__o", F.sort_array(entries))
     if top_k:
         rows = rows.withColumn("__edge", F.get("__o", F.least(F.lit(top_k), F.size("__o")) - 1)["neg"]).withColumn("__o", F.filter("__o", lambda e: e["neg"] <= F.col("__edge"))).drop("__edge")
     if top_p and 0 < top_p < 1:

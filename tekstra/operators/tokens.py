@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.search import numbers_upto
+from ..functions.text import characters
 
 #: Ids of the special tokens, and the label that masks.
 UNK, PAD, BOS, EOS, SYSTEM, USER, ASSISTANT, MASK = 0, 1, 2, 3, 4, 5, 6, -100
@@ -14,21 +15,16 @@ SPECIALS = 7
 BLOCK = 256
 
 
-def chars(text: Column) -> Column:
-    """The code points of a text."""
-    return F.regexp_extract_all(text, F.lit("(?s)."), 0)
-
-
 def char_ids(text: Column | str, alphabet: str) -> Column:
     """7 + place in the alphabet; what isn't in it is unk."""
     text = F.col(text) if isinstance(text, str) else text
     place = lambda c: F.instr(F.lit(alphabet), c)
-    return F.transform(chars(text), lambda c: F.when(place(c) > 0, place(c) + (SPECIALS - 1)).otherwise(F.lit(UNK)))
+    return F.transform(characters(text), lambda c: F.when(place(c) > 0, place(c) + (SPECIALS - 1)).otherwise(F.lit(UNK)))
 
 
 def first_seen_alphabet(docs: DataFrame, ord: str, text: str = "text") -> str:
     """The distinct characters in order of first sight; bounded by the characters in use."""
-    seen = docs.select(F.col(ord).alias("o"), F.posexplode(chars(F.col(text))).alias("p", "c")).groupBy("c").agg(F.min(F.struct("o", "p")).alias("at"))
+    seen = docs.select(F.col(ord).alias("o"), F.posexplode(characters(F.col(text))).alias("p", "c")).groupBy("c").agg(F.min(F.struct("o", "p")).alias("at"))
     return "".join(r["c"] for r in seen.orderBy("at").select("c").collect())
 
 
@@ -165,7 +161,7 @@ def windows(stream: DataFrame, block: int, count: int, seed: int) -> DataFrame:
         raise ValueError(f"a stream of {n} tokens is shorter than block + 1")
     starts = stream.sparkSession.range(count).select(F.col("id").alias("row"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n - block)).alias("start"))
     places = starts.select("row", F.posexplode(F.sequence("start", F.col("start") + block)).alias("at", "pos"))
-    seg = places.join(stream, "pos").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda s: s["token"]).alias("seg"))
+    seg = places.join(stream, "pos").groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda s: s["token"]).alias("seg"))
     return seg.select("row", F.slice("seg", 1, block).alias("x"), F.slice("seg", 2, block).alias("y"))
 
 

@@ -63,7 +63,7 @@ def built(rows: DataFrame, probes: DataFrame, encode: Callable[[Column], Column]
 def attrition(rows: DataFrame) -> DataFrame:
     """Stage, n: examples by source, and what each stage rejects and leaves."""
     is_ = lambda *names: F.col("outcome").isin(*names)
-    pair = F.concat(F.lit("dup_pair_"), F.array_join(F.array_sort(F.array_distinct(F.array("first_source", "source"))), "|"))
+    pair = F.concat(F.lit("dup_pair_"), F.array_join(F.sort_array(F.array_distinct(F.array("first_source", "source"))), "|"))
     quality, one = is_(*QUALITY), lambda c, name: F.when(c, F.lit(name) if isinstance(name, str) else name)
     kinds = [
         F.concat("source", F.lit("_examples")),

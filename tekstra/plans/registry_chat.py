@@ -159,7 +159,7 @@ LISTS_SQL = "l AS (SELECT 'self-' || conv_id // 2 AS id, CASE conv_id % 3 WHEN 0
 )
 def p22(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    said = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("index"), F.concat(F.lit(" "), F.upper("role")).alias("speaker"), F.concat("text", F.lit(" ")).alias("text")))).alias("utterances"))
+    said = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").alias("index"), F.concat(F.lit(" "), F.upper("role")).alias("speaker"), F.concat("text", F.lit(" ")).alias("text")))).alias("utterances"))
     name = F.concat(F.lit("self-"), F.floor(F.col("conv_id") / 2).cast("string"))
     lists = rows.select("conv_id").distinct().where("conv_id % 5 <> 1").select(name.alias("id"), F.when(F.col("conv_id") % 3 == 0, "train").otherwise("dev").alias("list"))
     found = chat_sources.dialogs(said.select(F.col("conv_id").alias("ord"), name.alias("conversation_id"), F.lit("x").alias("domain"), "utterances"), lists)

@@ -124,7 +124,7 @@ def k5(spark, sf_dir):
 def s10(spark, sf_dir):
     """Dialogs as JSON, read by their schema; utterances exploded again."""
     path = new_path(spark)
-    u = F.array_sort(F.collect_list(F.struct(F.col("turn").alias("index"), F.upper("role").alias("speaker"), "text")))
+    u = F.sort_array(F.collect_list(F.struct(F.col("turn").alias("index"), F.upper("role").alias("speaker"), "text")))
     sinks.write_json_lines(table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("conversation_id")).agg(u.alias("utterances")), path)
     rows = chat_sources.scan(spark, path, chat_sources.DIALOGS).select("conversation_id", F.explode("utterances").alias("u"))
     return rows.select(F.col("conversation_id").cast("long").alias("conv_id"), F.col("u.index").alias("turn"), F.col("u.speaker").alias("speaker"), F.md5("u.text").alias("text_md5"))
