@@ -19,7 +19,7 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows that cross to Python at once: texts may be long, so few."""
+    """Rows that cross to Python at once: texts may be long, so few. Spark has no smaller scope for this than the session; its own bound by bytes (64 MB) stays."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

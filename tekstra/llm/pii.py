@@ -508,22 +508,22 @@ def tagged(tagger: Tagger, texts: list[str], windows_at_once: int = 4096, where:
             group.append(pieces[at])
             n += 2 + (pieces[at][2] - pieces[at][1]) // SHIFT
             at += 1
-        codes = {i: classes(texts[i]) for i in dict.fromkeys(i for i, _, _ in group)}
         asked: dict[tuple[int, int], list[int]] = {}
         for g, (i, a, b) in enumerate(group):
-            last = max(0, len(codes[i]) - (WINDOW - SHIFT) - 1) // SHIFT
+            last = max(0, len(texts[i]) - (WINDOW - SHIFT) - 1) // SHIFT
             for k in range(owner(a, last), owner(b - 1, last) + 1):
                 asked.setdefault((i, k), []).append(g)
         scores = [np.zeros((b - a, TAGS), np.float32) for _, a, b in group]
         windows = iter(asked.items())
         while some := list(itertools.islice(windows, windows_at_once)):
-            x = np.zeros((len(some), WINDOW), np.int64)
-            for row, ((i, k), _) in enumerate(some):
-                part = codes[i][k * SHIFT : k * SHIFT + WINDOW]
-                x[row, : len(part)] = part
+            x, parts, end = np.zeros((len(some), WINDOW), np.int64), [texts[i][k * SHIFT : k * SHIFT + WINDOW] for (i, k), _ in some], 0
+            codes = classes("".join(parts))
+            for row, part in enumerate(parts):
+                x[row, : len(part)] = codes[end : end + len(part)]
+                end += len(part)
             for ((i, k), users), y in zip(some, tagger.scores(x), strict=True):
                 # A character of two windows takes the one whose border is farther.
-                s, size = k * SHIFT, len(codes[i])
+                s, size = k * SHIFT, len(texts[i])
                 e = min(s + WINDOW, size)
                 lo = s if s == 0 else s + (WINDOW - SHIFT) // 2
                 hi = e if e == size else e - (WINDOW - SHIFT) // 2

@@ -215,3 +215,21 @@ def test_malformed_utf8_reads_as_replacement_characters(spark):
     docs = spark.sql("select 1L doc_id, cast(X'FF61' as string) text, 2L n_chars union all select 2L, cast(concat(X'FF', cast(' mail a.b@c.de' as binary)) as string), 9L")
     assert [r.spans for r in pii.op3(docs).orderBy("doc_id").collect()] == ["", "email:7:15"]
     assert sorted(r.text for r in pii.redacted(docs).collect()) == ["� mail <EMAIL>", "�a"]
+
+
+def test_tags_and_marginals_equal_all_paths(tagger):
+    """Viterbi and marginals against every sequence of tags, one by one, for pieces with and without text borders."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    move = (tagger.w["move"] + pii.ALLOWED).astype(np.float64)
+    for n, first, last in ((1, True, True), (3, True, True), (4, False, False), (4, True, False), (4, False, True)):
+        scores = rng.normal(0, 2, (n, pii.TAGS)).astype(np.float32)
+        paths = np.array(list(itertools.product(range(pii.TAGS), repeat=n)))
+        value = scores[np.arange(n), paths].sum(1) + move[paths[:, :-1], paths[:, 1:]].sum(1) + (pii.START[paths[:, 0]] if first else move[0, paths[:, 0]]) + (0 if last else move[paths[:, -1], 0])
+        best = paths[value.argmax()]
+        ((tags, sure),) = tagger.decode([scores], [(first, last)])
+        assert tags.tolist() == best.tolist()
+        weight = np.exp(value - value.max())
+        share = [weight[paths[:, t] == best[t]].sum() / weight.sum() for t in range(n)]
+        assert not best.any() or np.abs(sure - share).max() < 1e-4
