@@ -232,10 +232,11 @@ def open_blocks(members: DataFrame, near: DataFrame, comps: DataFrame) -> DataFr
     rows = labelled.join(spans, ["band", "value"])
     place = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     outside = F.col("comp") != F.col("main")
+    # Sketches are joined before rows are copied to blocks: a node then has no more rows in that join than bands.
+    rows = rows.join(near.select("node", "n", "bands", "bits"), "node")
     rows = rows.withColumn("own", F.when(outside, place("others")).otherwise(F.col("others") + place("mains")))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(outside, F.col("mains")).otherwise(0))))
-    rows = rows.select("band", "value", "node", "comp", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
-    return rows.join(near.select("node", "n", "bands", "bits"), "node")
+    return rows.select("band", "value", "node", "comp", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "n", "bands", "bits")
 
 
 def open_pairs(members: DataFrame, near: DataFrame, comps: DataFrame) -> DataFrame:
