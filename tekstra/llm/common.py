@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -52,8 +54,13 @@ _CACHES: dict[str, Callable[[], None]] = {}
 
 
 def claim(name: str, clear: Callable[[], None]) -> None:
-    """Called in a Python worker by an operator that keeps caches: workers are used again by later stages, so those of other operators are dropped."""
-    for other in [x for x in _CACHES if x != name]:
+    """Called in a Python worker by an operator: workers are used again by later stages, so caches of other operators are dropped and their memory goes back to the machine."""
+    others = [x for x in _CACHES if x != name]
+    for other in others:
         _CACHES.pop(other)()
+    if others:
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
     _CACHES[name] = clear

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8
+from .common import claim, map_batches, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
@@ -644,6 +644,8 @@ def found_spans(docs: DataFrame, tagger: Tagger | None = None, key: str = "doc_i
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def make():
+        claim("pii", lambda: None)
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = scanned(tagger, [x.decode() for x in batch.column(1).to_pylist()])
             as_rows = lambda k: pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x[k]] for x in found], span)
@@ -675,6 +677,7 @@ def redacted(docs: DataFrame, tagger: Tagger | None = None, text: str = "text",
 
     @F.arrow_udf("string")
     def clean(raw: pa.Array) -> pa.Array:
+        claim("pii", lambda: None)
         texts = raw.to_pylist()
         at = [i for i, x in enumerate(texts) if x]
         for i, (_, spans) in zip(at, scanned(tagger, [texts[i] for i in at]), strict=True):

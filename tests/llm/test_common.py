@@ -19,3 +19,13 @@ def test_slices_are_bounded():
     parts = list(common.slices(batch))
     assert sum(p.num_rows for p in parts) == 9 and max(p.num_rows for p in parts) <= 2
     assert list(common.slices(batch.slice(0, 0))) == []
+
+
+def test_claims_drop_the_caches_of_other_operators(monkeypatch):
+    monkeypatch.setattr(common, "_CACHES", {})
+    dropped = []
+    common.claim("a", lambda: dropped.append("a"))
+    common.claim("a", lambda: dropped.append("a"))
+    assert dropped == []
+    common.claim("b", lambda: dropped.append("b"))
+    assert dropped == ["a"] and set(common._CACHES) == {"b"}
