@@ -36,6 +36,8 @@ WORDS, SIMILARITY = 2, 80
 MARGIN = 0.2
 #: Nodes of a bucket that one task compares with each other or with as many others.
 BLOCK = 1024
+#: Rows of one set from which on its node is joined to them apart from the others.
+HOT = 1000
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 MAX_WORDS = 200_000
@@ -293,7 +295,7 @@ def memberships(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """
     small_batches(docs.sparkSession)
     rows = stored(sketches(docs, key, text, words))
-    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    nodes = stored(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     shared = banded.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(banded.join(shared, ["band", "value"]))
@@ -310,10 +312,16 @@ def memberships(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     label = {s: comps.select(F.col("node").alias(s), F.col("comp").alias(f"comp_{s}")) for s in ("a", "b")}
     joined = more.join(label["a"], "a", "left").join(label["b"], "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
     comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(joined))
-    firsts = nodes.select("node", "row.id")
+    firsts = nodes.select("node", "copies", "row.id")
     least = firsts.join(comps, "node").groupBy("comp").agg(F.min("id").alias("component"))
-    labelled = firsts.join(comps.join(least, "comp").select("node", "component", "comp"), "node", "left").select("node", F.coalesce("component", "id").alias("component"), F.coalesce("comp", "node").alias("comp"))
-    return rows.join(labelled, "node", "left").select("id", "text_hash", "n_shingles", F.coalesce("component", "id").alias("component"), F.col("node").isNull().alias("alone"), "comp")
+    labelled = firsts.join(comps.join(least, "comp").select("node", "component", "comp"), "node", "left").select("node", "copies", F.coalesce("component", "id").alias("component"), F.coalesce("comp", "node").alias("comp"))
+    labelled = stored(labelled)
+    # Copies of one set may be a third of all rows. Such nodes are few, one for HOT rows at most, so their table is joined apart: small, it is broadcast; large, AQE splits the copies.
+    own = ("node", "component", "comp")
+    hot = stored(labelled.where(F.col("copies") > HOT).select(*own))
+    others = rows.join(hot.select("node"), "node", "left_anti").join(labelled.where(F.col("copies") <= HOT).select(*own), "node", "left")
+    found = others.unionByName(rows.join(hot, "node"))
+    return found.select("id", "text_hash", "n_shingles", F.coalesce("component", "id").alias("component"), F.col("node").isNull().alias("alone"), "comp")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:

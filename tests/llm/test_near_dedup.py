@@ -105,6 +105,12 @@ def test_large_group_around_the_threshold(spark, monkeypatch):
     check(spark.createDataFrame(families(500), "doc_id long, text string"))
 
 
+def test_large_groups_of_copies_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HOT", 5)
+    rows = families(120) + [(1000 + i, "the very same words in every one of these rows") for i in range(60)] + [(2000 + i, "the very same words in every one of these") for i in range(4)] + [(3000 + i, None) for i in range(9)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
 def test_one_document_of_each_group_stays(spark, odd_docs):
     docs = spark.createDataFrame(families(200) + families(20), "doc_id long, text string").selectExpr("*", "'x' as component", "1 as id")
     found = nd.op10(docs).collect()
