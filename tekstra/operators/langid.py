@@ -23,6 +23,11 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(letters(text), F.lit("(?=(...))"), 1)
 
 
+def has_trigrams(text: Column) -> Column:
+    """Whether there is any trigram. Said of the text, so that a filter by it needs no scores and stops at the first one."""
+    return F.lower(text).rlike("[a-z0-9]{3}|[a-z0-9][^a-z0-9]++[a-z0-9]")
+
+
 def training_rows(docs: DataFrame, ord: str, lang: str, per_language: int, source: str | None = None) -> DataFrame:
     """Of each language, and each source of it, the first rows; per_language is shared evenly by sources.
 
