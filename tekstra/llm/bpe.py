@@ -6,8 +6,9 @@ state is the last whole token and the bytes of the token under way; a token may
 compatible with the one before. ``Transducer`` determinises it on demand by the subset
 construction with output residuals: a state holds every live hypothesis (bytes under way, tokens
 not yet emitted), and what all hypotheses agree on is emitted. A token is thus emitted after a
-lookahead of at most the longest token. Transitions are kept in a table; table and memo are dropped
-when they reach a fixed size (they are caches: results don't depend on them).
+lookahead of at most the longest token. States and transitions are kept; they and the memo are dropped
+when they reach a fixed size (they are caches: results don't depend on them). A piece's last byte
+leads to no state: it emits what the one hypothesis that ends there has due.
 
 Decoding. ``Utf8Stream`` runs an incremental UTF-8 state machine over the ids' bytes; its state is
 the bytes of the unfinished character, so ids may come in any chunks.
@@ -17,9 +18,12 @@ from __future__ import annotations
 
 import base64
 import codecs
+import contextlib
 import functools
+import gc
+import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -52,17 +56,26 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.longer = {b[:n] for b in ranks for n in range(1, len(b))}
+        longer = {b[:n] for b in ranks for n in range(len(b))}
+        node = {b: n for n, b in enumerate(longer | ranks.keys() - {b""})}
+        self.root = node[b""]
+        #: By node of the tokens' trie and byte: the node there, its token (-1: none), whether tokens go on from it.
+        self.arcs: list[dict[int, tuple[int, int, bool]]] = [{} for _ in node]
+        for b, n in node.items():
+            if b:
+                self.arcs[node[b[:-1]]][b[-1]] = n, ranks.get(b, -1), b in longer
         self.made_of: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
+        #: States by their hypotheses. A state is a dictionary: the next state and the tokens emitted, by byte; the hypotheses, by -1.
+        self.number: dict[tuple, dict] = {}
         self.reset()
 
     def reset(self) -> None:
-        start = (-1, ((b"", ()),))
-        self.number = {start: 0}
-        self.states = [start]
-        self.table: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.final: list[tuple[int, ...]] = [()]
+        for state in self.number.values():
+            state.clear()  # states refer to each other in circles
+        hypotheses = -1, ((self.root, ()),)
+        self.start = {-1: hypotheses}
+        self.number = {hypotheses: self.start}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte, or where merges don't make it."""
@@ -78,25 +91,22 @@ class Transducer:
         Both are undone, the later merge first: the pair is an encoding unless, at some moment of the
         merges, the tokens that then touch at the border would merge before either takes its next merge.
         """
-        if len(self.bytes_of[b]) > 1 and self.halves(b) is None:
-            return False
-        if a < 0:
-            return True
-        key = a << 32 | b
+        key = a + 1 << 32 | b
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[key] = self.touching(a, b)
+            ok = self.pairs[key] = (len(self.bytes_of[b]) == 1 or self.halves(b) is not None) and (a < 0 or self.touching(a, b))
         return ok
 
     def touching(self, a: int, b: int) -> bool:
-        until = 1 << 60
+        ranks, raw, made_of, until = self.ranks.get, self.bytes_of, self.made_of, 1 << 60
         while True:
-            joined = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            joined = ranks(raw[a] + raw[b])
             if joined is not None and joined < until:
                 return False
-            left, right = self.halves(a), self.halves(b)
+            left = made_of[a] if a in made_of else self.halves(a)
+            right = made_of[b] if b in made_of else self.halves(b)
             if left is None and right is None:
                 return True
             # Of equal rank, the left merge comes first: at the border it then still holds when b is undone.
@@ -105,51 +115,99 @@ class Transducer:
             else:
                 until, b = b + 1, right[0]
 
-    def step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The transition from state ``at``, made and kept."""
-        last, alive = self.states[at]
-        found: list[tuple[bytes, tuple[int, ...]]] = []
-        for partial, due in alive:
-            now = partial + bytes((byte,))
-            token = self.ranks.get(now)
-            if token is not None and self.compatible(due[-1] if due else last, token):
-                found.append((b"", (*due, token)))
-            if now in self.longer:
-                found.append((now, due))
-        out = found[0][1]
-        for _, due in found:
-            n = min(len(out), len(due))
-            while out[:n] != due[:n]:
-                n -= 1
-            out = out[:n]
+    def step(self, at: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
+        """The transition from state ``at``, made and kept. Its hypotheses stand longest bytes under way first."""
+        last, alive = at[-1]
+        arcs, pairs = self.arcs, self.pairs.get
+        found: list[tuple[int, tuple[int, ...]]] = []
+        whole = None
+        for node, due in alive:
+            arc = arcs[node].get(byte)
+            if arc is None:
+                continue
+            node, token, more = arc
+            # An encoding is unique, so where one token ends, no other does.
+            if whole is None and token >= 0:
+                before = due[-1] if due else last
+                ok = pairs(before + 1 << 32 | token)
+                if ok or ok is None and self.compatible(before, token):
+                    whole = *due, token
+            if more:
+                found.append((node, due))
+        if whole is not None:
+            found.append((self.root, whole))
+        out = found[0][1] if found else ()
         if out:
-            last = out[-1]
-            found = [(partial, due[len(out) :]) for partial, due in found]
-        if all(due for _, due in found):
+            for _, due in found:
+                while due[: len(out)] != out:
+                    out = out[:-1]
+            if out:
+                last = out[-1]
+                found = [(node, due[len(out) :]) for node, due in found]
+        # Only what is under way the longest can have nothing due: all others go on from its tokens.
+        if not found or found[0][1]:
             last = -1
-        state = (last, tuple(found))
-        to = self.number.get(state)
+        hypotheses = last, tuple(found)
+        to = self.number.get(hypotheses)
         if to is None:
-            to = self.number[state] = len(self.states)
-            self.states.append(state)
-            self.table.append({})
-            self.final.append(next((due for partial, due in found if not partial), ()))
-        self.table[at][byte] = to, out
+            to = self.number[hypotheses] = {-1: hypotheses}
+        at[byte] = to, out
         return to, out
 
+    def end(self, at: dict, byte: int) -> tuple[int, ...]:
+        """What is emitted from state ``at`` when ``byte`` is the last: of the transition, only the hypothesis that ends there."""
+        last, alive = at[-1]
+        for node, due in alive:
+            _, token, _ = self.arcs[node].get(byte, (0, -1, False))
+            if token >= 0 and self.compatible(due[-1] if due else last, token):
+                return *due, token
+        return ()
+
     def run(self, piece: bytes) -> list[int]:
-        if len(self.states) >= MAX_STATES:
+        if len(self.number) >= MAX_STATES:
             self.reset()
         ids: list[int] = []
-        at, table = 0, self.table
-        for byte in piece:
+        at = self.start
+        for byte in piece[:-1]:
             try:
-                at, out = table[at][byte]
+                at, out = at[byte]
             except KeyError:
                 at, out = self.step(at, byte)
             if out:
                 ids += out
-        ids += self.final[at]
+        if piece:
+            ids += self.end(at, piece[-1])
+        return ids
+
+
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """Without Python's search for circular garbage: it would go through all states and memos again and again, and finds none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+class Memo(dict[str, tuple[int, ...]]):
+    """Ids by piece, encoded where they aren't known yet; looked up without a step of the interpreter where they are."""
+
+    def __init__(self, encode: Callable[[str], tuple[int, ...]]):
+        self.encode = encode
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) <= 64:
+            if len(self) >= MAX_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -164,8 +222,7 @@ class Encoder:
         letters, numbers = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
         self.split_latin = re.compile(exact.replace(r"\p{L}+", f"[{letters}]+").replace(r"\p{N}+", f"[{numbers}]+").replace(r"\p{L}", letters).replace(r"\p{N}", numbers)).findall
         self.transducer = Transducer(ranks)
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(self.piece)
 
     def split(self, text: str) -> list[str]:
         """The pattern's matches. The narrower patterns match the same where all characters are theirs; they are faster."""
@@ -178,23 +235,12 @@ class Encoder:
         return self.split_latin(text)
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            ids = (whole,) if whole is not None else tuple(self.transducer.run(raw))
-        if len(piece) <= 64:
-            if len(self.memo) >= MAX_PIECES:
-                self.older, self.memo = self.memo, {}
-            self.memo[piece] = ids
-        return ids
+        raw = piece.encode()
+        whole = self.ranks.get(raw)
+        return (whole,) if whole is not None else tuple(self.transducer.run(raw))
 
     def __call__(self, text: str) -> list[int]:
-        ids: list[int] = []
-        memo, extend = self.memo, ids.extend
-        for piece in self.split(text):
-            extend(memo.get(piece) or self.piece(piece))
-        return ids
+        return list(itertools.chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
 
 
 class Utf8Stream:
@@ -245,8 +291,9 @@ def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", te
         encode = encoder(vocabulary)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [encode(x.decode()) for x in batch.column(1).to_pylist()]
-            back = ["".join(decode(x, vocabulary)).encode() for x in ids]
+            with uncollected():
+                ids = [encode(x.decode()) for x in batch.column(1).to_pylist()]
+                back = ["".join(decode(x, vocabulary)).encode() for x in ids]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.binary())], names=["key", "ids", "decoded"])
 
         return each

@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 
@@ -38,6 +39,40 @@ def test_full_caches_do_not_change_results(monkeypatch):
     assert ours(text) == library().encode_ordinary(text)
 
 
+def test_new_words_equal_library():
+    rng, ours, theirs = random.Random(5), bpe.Encoder(bpe.read_ranks(public_tokenizers.path(NAME)), public_tokenizers.PATTERN), library()
+    parts = ["th", "er", "ing", "wh", "ou", "ción", "sch", "eau", "é", "ß", "ment", "rst", "q", "7", "aa"]
+    text = " ".join("".join(rng.choices(parts, k=rng.randint(1, 7))) for _ in range(20_000))
+    assert ours(text) == theirs.encode_ordinary(text)
+
+
+def test_the_last_byte_makes_no_state():
+    transducer = bpe.Transducer(bpe.read_ranks(public_tokenizers.path(NAME)))
+    for n, piece in enumerate((b"z", b"zq", b"zqj", b"zqj", b"zqk"), 1):
+        assert b"".join(map(transducer.bytes_of.get, transducer.run(piece))) == piece
+        assert len(transducer.number) == min(n, 3)
+
+
+def test_nothing_is_tried_beside_a_token_that_fits(monkeypatch):
+    transducer, tried = bpe.Transducer(bpe.read_ranks(public_tokenizers.path(NAME))), []
+    step, compatible = transducer.step, transducer.compatible
+    monkeypatch.setattr(transducer, "step", lambda at, byte: tried.append([]) or step(at, byte))
+    monkeypatch.setattr(transducer, "compatible", lambda a, b: tried[-1].append(compatible(a, b)) or tried[-1][-1])
+    transducer.run(b" internationalisationallyx")
+    assert len(tried) > 20 and any(map(any, tried)) and not any(True in of_step[:-1] for of_step in tried[:-1])
+
+
+def test_dropped_states_are_freed_without_the_collector():
+    transducer = bpe.Transducer(bpe.read_ranks(public_tokenizers.path(NAME)))
+    transducer.run(b"abababababababababab")
+    states = list(transducer.number.values())
+    transducer.reset()
+    assert len(states) > 2 and not any(states) and transducer.run(b"ab") == library().encode_ordinary("ab")
+    with bpe.uncollected():
+        assert not gc.isenabled()
+    assert gc.isenabled()
+
+
 def test_decoder_takes_any_chunks():
     text = "naïve 👩‍👧 日本語 ok"
     ids = bpe.encoder(NAME)(text)
